@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, quality, token_store
+from . import decontam, line_dedup, near_dup, quality, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_read(_table(spark, sf_dir, "documents").select("doc_id", "text"), token_store.default_tokenizer())
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -32,7 +37,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_token_files, op8_line_dedup, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_token_files, op7_near_dedup, op8_line_dedup, op9_decontamination)}
 
 ORACLE: dict[str, str] = {
     "op8_line_dedup": line_dedup.ORACLE_SQL,
