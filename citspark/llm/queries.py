@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, near_dup, quality, token_store
+from . import decontam, katz, line_dedup, near_dup, quality, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = katz.katz_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), katz.crc_rule(7, 2))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     out = quality.quality_rules(documents.select("doc_id", "text"), labels)
@@ -37,7 +42,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_token_files, op7_near_dedup, op8_line_dedup, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_katz_scores, op5_quality_rules, op6_token_files, op7_near_dedup, op8_line_dedup, op9_decontamination)}
 
 ORACLE: dict[str, str] = {
     "op8_line_dedup": line_dedup.ORACLE_SQL,
