@@ -93,27 +93,30 @@ def check_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {gone}; the table has {df.columns}")
 
 
-def dense_rank_in(df: DataFrame, group: str, order: list[str], out: str, cells: int = 256) -> DataFrame:
+def dense_rank_in(df: DataFrame, group: str, order: list[str], out: str, cells: int = 256, broadcast_offsets: bool = False) -> DataFrame:
     """``out``: gapless ranks from 0 within each ``group``, in a fixed order.
 
     The order is by a hash cell of the ``order`` columns, then by these columns.
     Rows are numbered within (group, cell); the cells' counts, at most
     ``cells`` a group, give each cell its offset.  So a group that holds a third
     of all rows is still numbered by ``cells`` tasks.  Rows equal in ``order``
-    tie and get neighbouring ranks.
+    tie and get neighbouring ranks.  ``broadcast_offsets`` is for callers that
+    know a bound of groups times cells; wide rows then move once only.
     """
     cell, offset = f"__{out}_cell", f"__{out}_offset"
     celled = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
-    return rank_by_cells(celled, group, cell, order, out, offset)
+    return rank_by_cells(celled, group, cell, order, out, offset, broadcast_offsets)
 
 
-def rank_by_cells(df: DataFrame, group: str, cell: str, order: list[str], out: str, offset: str) -> DataFrame:
+def rank_by_cells(df: DataFrame, group: str, cell: str, order: list[str], out: str, offset: str, broadcast_offsets: bool = False) -> DataFrame:
     """Gapless ranks of ``group`` over rows dealt to ordered cells; drops the cell."""
     counts = df.groupBy(group, cell).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(group).alias("__g"), F.col(cell).alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(offset))
     local = Window.partitionBy(group, cell).orderBy(*order)
     ranked = df.withColumn(out, F.row_number().over(local).cast("long") - 1)
+    if broadcast_offsets:
+        offsets = F.broadcast(offsets)
     joined = ranked.join(offsets, ranked[group].eqNullSafe(offsets["__g"]) & (ranked[cell] == offsets["__c"]), "left")
     return joined.withColumn(out, F.col(out) + F.coalesce(F.col(offset), F.lit(0))).drop("__g", "__c", cell, offset)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, katz, line_dedup, near_dup, quality, token_store
+from . import decontam, katz, line_dedup, mixing, near_dup, quality, sharding, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_key"))
+    return mixing.mix_sources(documents, order=("doc_id", "text_key")).select("doc_id", "source", "phase", "slot", "mix_order", "share")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     out = quality.quality_rules(documents.select("doc_id", "text"), labels)
@@ -42,7 +51,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_katz_scores, op5_quality_rules, op6_token_files, op7_near_dedup, op8_line_dedup, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_pfair_mixing, op4_sharding, op5_quality_rules, op6_token_files, op7_near_dedup, op8_line_dedup, op9_decontamination)}
 
 ORACLE: dict[str, str] = {
     "op8_line_dedup": line_dedup.ORACLE_SQL,
