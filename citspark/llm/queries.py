@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, katz, line_dedup, mixing, near_dup, quality, sharding, token_store
+from . import decontam, html_extract, katz, line_dedup, mixing, near_dup, quality, sharding, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_pfair_mixing, op4_sharding, op5_quality_rules, op6_token_files, op7_near_dedup, op8_line_dedup, op9_decontamination)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_pfair_mixing, op4_sharding, op5_quality_rules, op6_token_files, op7_near_dedup, op8_line_dedup, op9_decontamination, op10_html_extraction)}
 
 ORACLE: dict[str, str] = {
     "op8_line_dedup": line_dedup.ORACLE_SQL,
