@@ -147,6 +147,10 @@ def mix_sources(rows: DataFrame, weights: Mapping[str | None, float] | None = No
 
 
 def mixed_order(rows: DataFrame, weights: Mapping[str | None, float] | None = None, mix: Mix = Mix(), source: str = "source", order: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """``rows`` sorted by mix_order, so that files written from it hold the mixture in order."""
-    placed = mix_sources(rows, weights, mix, source, order)
+    """``rows`` sorted by mix_order, so that files written from it hold the mixture in order.
+
+    Within a source rows are shuffled by a hash of the ``order`` columns.
+    """
+    keyed = rows.withColumn("__key", F.xxhash64(*order))
+    placed = mix_sources(keyed, weights, mix, source, ("__key",))
     return placed.repartitionByRange(F.col("mix_order")).sortWithinPartitions("mix_order").select(*rows.columns)

@@ -39,7 +39,7 @@ class NearDup:
     salt_rows: members of one leader that are verified in one group.
     """
 
-    shingle: int = 4
+    shingle: int = 5
     percent: int = 80
     bands: int = 40
     rows: int = 5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, katz, line_dedup, mixing, near_dup, quality, sharding, token_store
+from . import decontam, html_extract, katz, line_dedup, mixing, near_dup, quality, sharding, token_store, unigram_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents, order=("doc_id", "text_key")).select("doc_id", "source", "phase", "slot", "mix_order", "share")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_count.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), token_store.default_tokenizer("piece_bpe_32k.model"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
 
@@ -37,7 +41,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), near_dup.NearDup(shingle=4))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -55,7 +59,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_pfair_mixing, op4_sharding, op5_quality_rules, op6_token_files, op7_near_dedup, op8_line_dedup, op9_decontamination, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_pfair_mixing, op3_token_counts, op4_sharding, op5_quality_rules, op6_token_files, op7_near_dedup, op8_line_dedup, op9_decontamination, op10_html_extraction)}
 
 ORACLE: dict[str, str] = {
     "op8_line_dedup": line_dedup.ORACLE_SQL,

@@ -147,6 +147,23 @@ def assign_shards(rows: DataFrame, links: DataFrame, shards: int = 8, rounds: in
     return rows.join(slotted.select("node", "shard", "slot"), "node")
 
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``__id`` and ``__grp``: equal texts have equal groups."""
+    text = F.col("text")
+    group = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("n"))
+    return documents.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__grp", group)
+
+
+def _numbered(keyed: DataFrame, repeats: bool) -> DataFrame:
+    """``node``: unique for each row; rows equal in id and text are numbered."""
+    copy = F.row_number().over(Window.partitionBy("__id", "__grp").orderBy("__id")) if repeats else F.lit(1)
+    return keyed.withColumn("__copy", copy).withColumn("node", F.struct("__id", "__grp", "__copy")).drop("__copy")
+
+
+def _repeats(keyed: DataFrame) -> bool:
+    return not keyed.groupBy("__id", "__grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
 def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document.
 
@@ -157,14 +174,24 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 4) -> D
     """
     check_columns(documents, "doc_id", "text")
     text = F.col("text")
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    rows = _keyed(documents).select(
+        "__id",
+        "__grp",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text.cast("binary"), F.lit("").cast("binary"))).alias("text_crc32"),
-        F.struct(F.xxhash64(text), F.xxhash64(F.lit(7), text), F.coalesce(F.octet_length(text), F.lit(-1)).alias("n")).alias("grp"),
     )
-    again = Window.partitionBy("doc_id", "grp").orderBy("size")
-    node = F.struct("doc_id", "grp", F.row_number().over(again).alias("copy"))
-    rows = stage_table(rows.withColumn("node", node), "shard-rows")
-    placed = assign_shards(rows, rows.select("node", "grp"), shards, rounds)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = stage_table(_numbered(rows, _repeats(rows)), "shard-rows")
+    placed = assign_shards(rows, rows.select("node", F.col("__grp").alias("grp")), shards, rounds)
+    return placed.select(F.col("__id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded(documents: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame:
+    """``documents`` with shard and slot, by the same rules; all columns stay."""
+    check_columns(documents, "doc_id", "text")
+    keyed = _keyed(documents)
+    slim = stage_table(keyed.select("__id", "__grp"), "shard-keys")
+    repeats = _repeats(slim)
+    nodes = _numbered(slim, repeats)
+    placed = assign_shards(nodes.select("node"), nodes.select("node", F.col("__grp").alias("grp")), shards, rounds)
+    whole = _numbered(keyed, repeats)
+    return whole.join(placed.select("node", "shard", "slot"), "node").select(*documents.columns, "shard", "slot")
