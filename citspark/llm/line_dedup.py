@@ -5,8 +5,8 @@ of its batches hold the line, the largest of their ids, and whether the key was
 new to the store when its batch came.  A new batch is merge-anti-joined with the
 runs: what no run holds is new.  Its own rows become a run of level 0; when a
 level has ``fanout`` runs they are merged into one of the next level, so a batch
-meets O(log batches) runs.  All runs share one bucketing, so the joins and merges
-move no stored row.
+meets O(log batches) runs.  All runs share one bucketing, so the joins move no stored
+row.
 """
 
 from __future__ import annotations
@@ -99,9 +99,16 @@ class LineRuns:
                 path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{t}")
                 path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        rows = reduce(DataFrame.unionByName, runs)
+    def _union(self, runs: list[DataFrame]) -> DataFrame:
+        """All rows of the runs, dealt anew.
+
+        A grouping straight over a union of bucketed tables took rows of one key
+        in different tables for different groups (Spark 4.1).
+        """
+        return reduce(DataFrame.unionByName, runs).repartition(self.buckets, "k1", "k2")
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        rows = self._union(runs)
         return rows.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("fresh").alias("fresh"))
 
     def common(self, min_docs: int) -> DataFrame:
@@ -115,7 +122,7 @@ class LineRuns:
             return self.spark.createDataFrame([], "k1 long, k2 long, n_docs long, max_doc long")
         if len(runs) == 1:
             return runs[0].filter(F.col("n_docs") >= min_docs).select("k1", "k2", "n_docs", "max_doc")
-        every = reduce(DataFrame.unionByName, runs)
+        every = self._union(runs)
         again = every.filter(~F.col("fresh") | (F.col("n_docs") >= min_docs)).select("k1", "k2").distinct()
         summed = every.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
         return summed.filter(F.col("n_docs") >= min_docs)
