@@ -91,7 +91,7 @@ class LineRuns:
         self.levels[level].append(table)
         if len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
-            merged = self._merged([self.spark.table(t) for t in old])
+            merged = self._merged(old)
             self.levels[level] = []
             self._put(level + 1, self._write(merged))
             for t in old:  # their rows are in the new run
@@ -99,16 +99,19 @@ class LineRuns:
                 path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{t}")
                 path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def _union(self, runs: list[DataFrame]) -> DataFrame:
-        """All rows of the runs, dealt anew.
+    def _all_rows(self) -> DataFrame:
+        return self._union([t for level in self.levels for t in level])
 
-        A grouping straight over a union of bucketed tables took rows of one key
-        in different tables for different groups (Spark 4.1).
+    def _union(self, tables: list[str]) -> DataFrame:
+        """All rows of runs, read as plain files.
+
+        A grouping over a union of bucketed tables needs no exchange in Spark 4.1's
+        eyes, but took rows of one key in different tables for different groups.
         """
-        return reduce(DataFrame.unionByName, runs).repartition(self.buckets, "k1", "k2")
+        return self.spark.read.parquet(*(f"{self.root}/{t}" for t in tables))
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        rows = self._union(runs)
+    def _merged(self, tables: list[str]) -> DataFrame:
+        rows = self._union(tables)
         return rows.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("fresh").alias("fresh"))
 
     def common(self, min_docs: int) -> DataFrame:
@@ -122,7 +125,7 @@ class LineRuns:
             return self.spark.createDataFrame([], "k1 long, k2 long, n_docs long, max_doc long")
         if len(runs) == 1:
             return runs[0].filter(F.col("n_docs") >= min_docs).select("k1", "k2", "n_docs", "max_doc")
-        every = self._union(runs)
+        every = self._all_rows()
         again = every.filter(~F.col("fresh") | (F.col("n_docs") >= min_docs)).select("k1", "k2").distinct()
         summed = every.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
         return summed.filter(F.col("n_docs") >= min_docs)
