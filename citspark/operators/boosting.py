@@ -16,7 +16,7 @@ from citspark.sources.storage import cut_lineage
 from . import metrics
 from .objectives import with_gradients
 from .quantize import FeatureBins, fit_bins, with_bins
-from .tree import Node, Tree, TreeParams, grow
+from .tree import Node, Tree, TreeParams, grow, number
 
 
 @dataclass(frozen=True)
@@ -102,8 +102,8 @@ class BoosterModel:
     def sql(self) -> str:
         """The margin as one SQL expression over the raw columns, without missing values."""
         cuts = [b.cuts for b in self.bins]
-        terms = [f"{r!r} * ({t.sql(self.features, cuts)})" for t, r in zip(self.trees, self.rates)]
-        return " + ".join(terms) or "0.0"
+        terms = [f"{number(r)} * ({t.sql(self.features, cuts)})" for t, r in zip(self.trees, self.rates)]
+        return " + ".join(terms) or "0e0"
 
     def to_json(self) -> str:
         return json.dumps(

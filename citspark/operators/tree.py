@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 from .stats import chi2_sf, histogram
 
 
+def number(x: float) -> str:
+    """A double literal in any SQL: with an exponent."""
+    text = repr(float(x))
+    return text if "e" in text else text + "e0"
+
+
 @dataclass(frozen=True)
 class TreeParams:
     max_depth: int = 6
@@ -86,8 +92,8 @@ class Tree:
         """The tree as a CASE expression over raw numeric columns."""
         node = self.nodes[at]
         if node.is_leaf:
-            return repr(float(node.weight))
-        test = f"{columns[node.feature]} < {cuts[node.feature][node.bin]!r}"
+            return number(node.weight)
+        test = f"CAST(CAST({columns[node.feature]} AS FLOAT) AS DOUBLE) < {number(cuts[node.feature][node.bin])}"
         return f"CASE WHEN {test} THEN {self.sql(columns, cuts, node.left)} ELSE {self.sql(columns, cuts, node.right)} END"
 
 
@@ -100,7 +106,7 @@ def _weight(g: float, h: float, l2: float, node: Node) -> float:
     return max(node.lo, min(node.hi, w))
 
 
-def test_feature(bins: dict[int, tuple[float, ...]]) -> tuple[float, int, float]:
+def feature_test(bins: dict[int, tuple[float, ...]]) -> tuple[float, int, float]:
     """chi-square, degrees of freedom and p-value of one feature's histogram."""
     live = [(w, g, q) for w, g, _, q in bins.values() if w > 0]
     n = sum(x[0] for x in live)
@@ -168,7 +174,7 @@ def grow(rows: DataFrame, p: TreeParams, features: list[int], categorical: froze
             node.weight = _weight(g, h, p.lambda_l2, node)
             if node.depth >= p.max_depth or count[i] < p.min_samples_split:
                 continue
-            tests = {f: test_feature(b) for f, b in own.items() if _allowed(f, node, p)}
+            tests = {f: feature_test(b) for f, b in own.items() if _allowed(f, node, p)}
             tests = {f: t for f, t in tests.items() if t[1] > 0}
             if not tests:
                 continue
