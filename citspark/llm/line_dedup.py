@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import check_columns, lower_ascii, scratch_path, stage_table
 
+_RUN = "k1 long, k2 long, n_docs long, max_doc long, fresh boolean"
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -108,7 +109,7 @@ class LineRuns:
         A grouping over a union of bucketed tables needs no exchange in Spark 4.1's
         eyes, but took rows of one key in different tables for different groups.
         """
-        return self.spark.read.parquet(*(f"{self.root}/{t}" for t in tables))
+        return self.spark.read.schema(_RUN).parquet(*(f"{self.root}/{t}" for t in tables))
 
     def _merged(self, tables: list[str]) -> DataFrame:
         rows = self._union(tables)
