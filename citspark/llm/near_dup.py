@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import check_columns, stage_table
@@ -110,6 +110,25 @@ def _streams(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.Data
         yield pd.concat(held, ignore_index=True)
 
 
+#: Longs of the bitmap that is sent to all tasks: 2 MB, however many nodes it marks.
+_WORDS = 1 << 18
+
+
+def _bitmap(nodes: DataFrame) -> DataFrame:
+    """One row: ``bits``, an array of longs with a bit set for each node's hash."""
+    h = F.xxhash64("id", "key")
+    marked = nodes.select(F.pmod(F.shiftright(h, 6), F.lit(_WORDS)).cast("int").alias("word"), F.expr("shiftleft(1L, cast(xxhash64(id, key) & 63 as int))").alias("bit"))
+    words = marked.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = nodes.sparkSession.range(_WORDS).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("bits"))
+
+
+def _in_bitmap(bits: Column, h: Column) -> Column:
+    word = F.get(bits, F.pmod(F.shiftright(h, 6), F.lit(_WORDS)).cast("int"))
+    place = h.bitwiseAND(F.lit(63)).cast("int")
+    return F.pmod(F.call_function("shiftright", word, place), F.lit(2)) == 1
+
+
 def verify(pairs: DataFrame, documents: DataFrame, p: NearDup) -> DataFrame:
     """Pairs (a, a_key, b, b_key) whose full shingle sets are similar enough.
 
@@ -117,8 +136,13 @@ def verify(pairs: DataFrame, documents: DataFrame, p: NearDup) -> DataFrame:
     ``salt_rows``; a task holds one set of ``a`` and one partner at a time.
     """
     per = pairs.groupBy("a", "a_key").agg(F.ceil(F.count(F.lit(1)) / p.salt_rows).cast("int").alias("salts"))
-    texts = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
     nodes = pairs.select(F.col("a").alias("id"), F.col("a_key").alias("key")).union(pairs.select("b", "b_key")).distinct()
+    nodes = stage_table(nodes, "neardup-nodes")
+    # Most documents are in no pair: a bitmap of fixed size drops nearly all of them
+    # before their texts move; the join then decides.
+    bits = stage_table(_bitmap(nodes), "neardup-bitmap")
+    texts = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
+    texts = texts.withColumn("__bits", bits.scalar()).filter(_in_bitmap(F.col("__bits"), F.xxhash64("id", "key"))).drop("__bits")
     texts = texts.join(nodes, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
     texts = stage_table(texts, "neardup-texts")
     members = pairs.join(per, ["a", "a_key"]).withColumn("salt", F.pmod(F.xxhash64("b", "b_key"), F.col("salts")).cast("int"))
@@ -168,28 +192,41 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     return total if total is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _residual(members: DataFrame, p: NearDup) -> DataFrame:
+def _residual(members: DataFrame, p: NearDup, partitions: int) -> DataFrame:
     """Candidate pairs of different components under one key, by signature.
 
-    A key's members are dealt to blocks of about ``block``; each pair of blocks
-    is one group, so groups are bounded whatever a key's size.
+    Pairs within a component are known to belong together, so a key's largest
+    component only meets the key's other members: its rows stay where they are,
+    in blocks of about ``block``, and the others come to each block.  The others
+    meet each other in pairs of blocks.  Groups are bounded whatever a key's size.
     """
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
-    rows = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("rep", "rep_key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "rep_key", "comp", "n_shingles", "sig")
+    per = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    keys = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    blocks = lambda n: F.ceil(n / p.block).cast("int")
+    keys = keys.select("band", F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("tops"), blocks(F.col("all") - F.col("top.n")).alias("rests"))
+    rows = members.join(keys, "band").withColumn("main", F.col("comp") == F.col("top"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "rep_key"), F.when(F.col("main"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
+    cell = lambda first, lo, hi: F.struct(first.alias("first"), lo.alias("lo"), hi.alias("hi"))
+    none = F.lit(0)
+    at_top = F.transform(F.sequence(none, F.col("tops") - 1), lambda b: cell(F.lit(True), b, none))
+    at_rest = F.transform(F.sequence(none, F.col("rests") - 1), lambda b: cell(F.lit(False), F.least("own", b), F.greatest("own", b)))
+    cells = F.when(F.col("main"), F.array(cell(F.lit(True), F.col("own"), none))).otherwise(F.concat(at_top, at_rest))
+    rows = rows.withColumn("cell", F.explode(cells)).select("band", "cell.*", "main", "own", "rep", "rep_key", "comp", "n_shingles", "sig")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, held = [], 0
-        for g in _streams(batches, ["band", "lo", "hi"]):
+        for g in _streams(batches, ["band", "first", "lo", "hi"]):
             sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), -1)
-            comp, size, own = g["comp"].to_numpy(), g["n_shingles"].to_numpy(), g["own"].to_numpy()
-            cross = g["lo"].iloc[0] != g["hi"].iloc[0]
+            comp, size = g["comp"].to_numpy(), g["n_shingles"].to_numpy()
+            first = bool(g["first"].iloc[0])
+            # Sides that meet here: main and others, or two blocks.
+            side = (g["main"] if first else g["own"]).to_numpy()
+            cross = first or g["lo"].iloc[0] != g["hi"].iloc[0]
             for i in range(len(g) - 1):
                 rest = np.arange(i + 1, len(g))
                 ok = comp[rest] != comp[i]
                 if cross:
-                    ok &= own[rest] != own[i]
+                    ok &= side[rest] != side[i]
                 lo, hi = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
                 rest = rest[ok & (100 * lo >= p.percent * hi)]
                 if len(rest):
@@ -207,7 +244,7 @@ def _residual(members: DataFrame, p: NearDup) -> DataFrame:
         if out:
             yield pd.DataFrame(np.vstack(out), columns=["a", "a_key", "b", "b_key"])
 
-    dealt = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep", "rep_key")
+    dealt = rows.repartition(partitions, "band", "first", "lo", "hi").sortWithinPartitions("band", "first", "lo", "hi", "rep", "rep_key")
     return dealt.mapInPandas(compare, "a long, a_key long, b long, b_key long").distinct()
 
 
@@ -239,7 +276,8 @@ def near_duplicates(documents: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     left = members.select("band", "rep", "rep_key").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("comp", F.coalesce("label", "rep"))
     crossing = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
     left = left.join(crossing, "band", "left_semi").join(own.select(F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key"), "n_shingles", "sig"), ["rep", "rep_key"])
-    rest = _residual(left, p).join(star, ["a", "a_key", "b", "b_key"], "left_anti")
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = _residual(left, p, partitions).join(star, ["a", "a_key", "b", "b_key"], "left_anti")
     more = verify(stage_table(rest, "neardup-rest"), documents, p)
     labels = components(links.unionByName(more))
     found = rows.join(reps.select("set_hash", "rep"), "set_hash", "left").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
