@@ -6,6 +6,7 @@
    copies of any size cost one grouped count.
 2. Within a band key every member is paired with the smallest one.  A group of
    n near copies gives n pairs, not n squared.  Pairs are verified on full sets.
+   The same then happens with each key's most central member.
 3. What these links leave unconnected under one band key is compared across
    components, in blocks of bounded size by signature, and verified in turn.
    So no candidate pair of different components is skipped.
@@ -192,6 +193,41 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     return total if total is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def _medoids(members: DataFrame, p: NearDup, partitions: int) -> DataFrame:
+    """Pairs of each member with its key's likeliest centre, across components.
+
+    Near copies of one original may be too far from each other, and from the
+    smallest of them, yet near the original.  In blocks of about ``block`` members
+    the one whose signature is near most others is found; the best of a key's
+    blocks meets all members, so a key of n members gives at most n pairs.
+    """
+    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks"))
+    rows = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("rep", "rep_key"), F.col("blocks")).cast("int"))
+
+    def central(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for g in _streams(batches, ["band", "own"]):
+            sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), -1)
+            near = [int(((sig == s).mean(axis=1) >= p.percent / 100 - 0.05).sum()) for s in sig]
+            k = int(np.argmax(near))
+            out.append((g["band"].iloc[0], near[k], g["rep"].iloc[k], g["rep_key"].iloc[k], g["comp"].iloc[k]))
+        yield pd.DataFrame(out, columns=["band", "near", "a", "a_key", "a_comp"]).astype("int64")
+
+    slim = rows.select("band", "own", "rep", "rep_key", "comp", "sig").repartition(partitions, "band", "own").sortWithinPartitions("band", "own", "rep", "rep_key")
+    found = slim.mapInPandas(central, "band long, near long, a long, a_key long, a_comp long")
+    best = found.groupBy("band").agg(F.max(F.struct("near", "a", "a_key", "a_comp")).alias("m"))
+    pairs = members.select("band", "rep", "rep_key", "comp").join(best, "band").filter(F.col("comp") != F.col("m.a_comp"))
+    return pairs.select(F.col("m.a").alias("a"), F.col("m.a_key").alias("a_key"), F.col("rep").alias("b"), F.col("rep_key").alias("b_key")).distinct()
+
+
+def _crossing(members: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
+    """Members of keys that more than one component is under, with component and signature."""
+    left = members.select("band", "rep", "rep_key").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("comp", F.coalesce("label", "rep"))
+    crossing = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
+    signed = own.select(F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key"), "n_shingles", "sig")
+    return left.join(crossing, "band", "left_semi").join(signed, ["rep", "rep_key"])
+
+
 def _residual(members: DataFrame, p: NearDup, partitions: int) -> DataFrame:
     """Candidate pairs of different components under one key, by signature.
 
@@ -273,11 +309,13 @@ def near_duplicates(documents: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     same_id = several.join(lowest, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
     links = stage_table(verify(star, documents, p).unionByName(same_id), "neardup-links")
     labels = components(links)
-    left = members.select("band", "rep", "rep_key").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("comp", F.coalesce("label", "rep"))
-    crossing = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    left = left.join(crossing, "band", "left_semi").join(own.select(F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key"), "n_shingles", "sig"), ["rep", "rep_key"])
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = _residual(left, p, partitions).join(star, ["a", "a_key", "b", "b_key"], "left_anti")
+    centres = stage_table(_medoids(_crossing(members, labels, own), p, partitions).join(star, ["a", "a_key", "b", "b_key"], "left_anti"), "neardup-centres")
+    links = stage_table(links.unionByName(verify(centres, documents, p)), "neardup-links")
+    labels = components(links)
+    tested = star.unionByName(centres)
+    tested = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("b_key").alias("a_key"), F.col("a").alias("b"), F.col("a_key").alias("b_key")))
+    rest = _residual(_crossing(members, labels, own), p, partitions).join(tested, ["a", "a_key", "b", "b_key"], "left_anti")
     more = verify(stage_table(rest, "neardup-rest"), documents, p)
     labels = components(links.unionByName(more))
     found = rows.join(reps.select("set_hash", "rep"), "set_hash", "left").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
