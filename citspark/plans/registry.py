@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -317,8 +317,6 @@ _add(
 
 def split_scan(hist: DataFrame, keys: list[str], l2: float = 1.0) -> DataFrame:
     """Gain of each prefix of the bins, by a window over the histogram."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     run = hist.select(*keys, "bin", F.sum("sum_g").over(w).alias("lg"), F.sum("sum_h").over(w).alias("lh"), F.sum("sum_g").over(whole).alias("g"), F.sum("sum_h").over(whole).alias("h"))
@@ -338,6 +336,104 @@ _add(
 )
 
 
+# --- lookups, slices and driver-table aggregates ----------------------------------------------------
+
+_add(
+    "scan_pandas",
+    lambda s, d: (lambda e: e.join(F.broadcast(X.dictionary(e.filter("kind IS NOT NULL"), "kind")), F.col("kind") == F.col("key"), "left").select("event_id", F.coalesce("code", F.lit(-1)).alias("code")))(_events(s, d)),
+    f"WITH k AS (SELECT kind, CAST(row_number() OVER (ORDER BY kind) - 1 AS INT) AS code FROM (SELECT DISTINCT kind FROM {EVENTS} WHERE kind IS NOT NULL)) SELECT event_id, coalesce(code, -1) AS code FROM {EVENTS} e LEFT JOIN k ON e.kind = k.kind",
+)
+_add(
+    "scan_sparse",
+    lambda s, d: _read(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("feature", "v")).filter("v > 0.1").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("v").cast("double")), 5).alias("total")),
+    "SELECT CAST(k AS INT) AS feature, count(*) AS n, round(sum(CAST(v AS DOUBLE)), 5) AS total FROM (SELECT unnest(range(0, 64)) AS k, unnest(embedding) AS v FROM embeddings) WHERE v > CAST(0.1 AS DOUBLE) GROUP BY 1",
+)
+_add(
+    "csv_demo_scan",
+    lambda s, d: _read(s, d, "part").agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"), F.count("p_name").alias("n")),
+    "SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, count(p_name) AS n FROM part",
+)
+_add(
+    "class_weight_lookup",
+    lambda s, d: _round(_read(s, d, "labels").join(F.broadcast(X.class_weights(_read(s, d, "labels"), "quality")), "quality").select("doc_id", "weight")),
+    "SELECT doc_id, round(count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY quality)), 6) AS weight FROM labels",
+)
+_add(
+    "slice_pairs",
+    lambda s, d: (lambda p, k: p.join(k.select(F.col("row_id").alias("winner")), "winner", "left_semi").join(k.select(F.col("row_id").alias("loser")), "loser", "left_semi").select("winner", "loser"))(O.group_pairs(_ranking(s, d), subgroup="sub"), _ranking(s, d).filter("row_id % 2 = 0")),
+    f"SELECT winner, loser FROM {_PAIRS} WHERE winner % 2 = 0 AND loser % 2 = 0",
+)
+_add(
+    "pairs_to_rows",
+    lambda s, d: _round(O.group_pairs(_ranking(s, d), subgroup="sub").join(_ranking(s, d).select(F.col("row_id").alias("winner"), F.col("p").alias("p_winner")), "winner").join(_ranking(s, d).select(F.col("row_id").alias("loser"), F.col("p").alias("p_loser")), "loser").select("winner", "loser", "p_winner", "p_loser"), 9),
+    f"SELECT winner, loser, round(a.p, 9) AS p_winner, round(b.p, 9) AS p_loser FROM {_PAIRS} x JOIN {RANKING} a ON a.row_id = winner JOIN {RANKING} b ON b.row_id = loser",
+)
+_add("min_max", lambda s, d: _small(s, d).agg(F.min("price").alias("lo"), F.max("price").alias("hi")), f"SELECT min(price) AS lo, max(price) AS hi FROM {SMALL}")
+_add("unique_capped", lambda s, d: _small(s, d).agg(F.least(F.countDistinct("cust"), F.lit(1024)).alias("n")), f"SELECT least(count(DISTINCT cust), 1024) AS n FROM {SMALL}")
+_add(
+    "gradient_variance",
+    lambda s, d: _round(_month_bins(s, d).agg((F.sum(F.col("g") * F.col("g")) / F.sum("w")).alias("q"), (F.sum("g") / F.sum("w")).alias("m")).select(F.greatest(F.lit(0.0), F.col("q") - F.col("m") * F.col("m")).alias("variance"))),
+    f"SELECT round(greatest(0, avg(g * g) - avg(g) * avg(g)), 6) AS variance FROM {_MONTHS}",
+)
+_add(
+    "histogram_subtract",
+    lambda s, d: (lambda r: _round(S.histogram(r, []).join(S.histogram(r.filter("row_id % 3 = 0"), []).select("feature", "bin", F.col("sum_g").alias("child_g"), F.col("n").alias("child_n")), ["feature", "bin"], "left").select("bin", (F.col("sum_g") - F.coalesce("child_g", F.lit(0.0))).alias("sum_g"), F.greatest(F.lit(0), F.col("n") - F.coalesce("child_n", F.lit(0))).alias("n")), 5))(_month_bins(s, d)),
+    f"SELECT CAST(month - 1 AS INT) AS bin, round(coalesce(sum(CASE WHEN row_id % 3 <> 0 THEN -label END), 0), 5) AS sum_g, CAST(sum(CASE WHEN row_id % 3 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM {SMALL} GROUP BY 1",
+)
+_add(
+    "allreduce_histogram",
+    lambda s, d: (lambda r: _round(S.histogram(r.withColumn("rank", F.col("row_id") % 4), ["rank"]).groupBy("bin").agg(F.sum("sum_g").alias("sum_g"), F.sum("n").alias("n")), 5))(_month_bins(s, d)),
+    f"SELECT bin, round(sum(g), 5) AS sum_g, count(*) AS n FROM {_MONTHS} GROUP BY bin",
+)
+_add(
+    "categorical_split_scan",
+    lambda s, d: (lambda h: _round(split_scan(h.select("feature", (F.row_number().over(Window.partitionBy("feature").orderBy(F.col("sum_g") / (F.col("sum_h") + 1), "bin")) - 1).cast("int").alias("bin"), "sum_g", "sum_h"), ["feature"]).select(F.col("bin").alias("place"), "gain"), 4))(_histogram(s, d)),
+    f"""WITH b AS (SELECT bin, CAST(count(*) AS DOUBLE) AS h, sum(g) AS g FROM {_MONTHS} GROUP BY bin),
+    o AS (SELECT CAST(row_number() OVER (ORDER BY g / (h + 1), bin) - 1 AS INT) AS place, g, h FROM b),
+    r AS (SELECT place, sum(g) OVER (ORDER BY place) AS lg, sum(h) OVER (ORDER BY place) AS lh, sum(g) OVER () AS g, sum(h) OVER () AS h FROM o)
+    SELECT place, round(lg * lg / (lh + 1) + (g - lg) * (g - lg) / (h - lh + 1) - g * g / (h + 1), 4) AS gain FROM r""",
+)
+_add(
+    "route_left",
+    lambda s, d: _month_bins(s, d).select("row_id", F.when(F.get("bins", F.lit(0)) <= 5, F.lit(1)).otherwise(F.lit(2)).alias("node")),
+    f"SELECT row_id, CASE WHEN month - 1 <= 5 THEN 1 ELSE 2 END AS node FROM {SMALL}",
+)
+_add(
+    "leaf_refit",
+    lambda s, d: _round(_month_bins(s, d).groupBy((F.get("bins", F.lit(0)) <= 5).cast("int").alias("leaf")).agg(C.leaf_weight(F.sum("g"), F.sum("h"), 1.0).alias("weight"))),
+    f"SELECT CAST(bin <= 5 AS INT) AS leaf, round(-sum(g) / (count(*) + 1), 6) AS weight FROM {_MONTHS} GROUP BY 1",
+)
+_add(
+    "leaf_lookup",
+    lambda s, d: (lambda r: _round(r.join(F.broadcast(r.groupBy("leaf").agg(C.leaf_weight(F.sum("g"), F.sum("h"), 1.0).alias("weight"))), "leaf").select("row_id", "weight")))(_month_bins(s, d).withColumn("leaf", (F.get("bins", F.lit(0)) <= 5).cast("int"))),
+    f"SELECT row_id, round(sum(label) OVER w / (count(*) OVER w + 1), 6) AS weight FROM {SMALL} WINDOW w AS (PARTITION BY month <= 6)",
+)
+_add(
+    "multiclass_structure_class",
+    lambda s, d: O.softmax_gradients(_multiclass(s, d), 10).select(F.posexplode("g").alias("k", "g")).groupBy("k").agg(F.var_pop("g").alias("v")).agg(F.max_by("k", "v").alias("k")),
+    f"""WITH e AS (SELECT row_id, y, unnest(range(0, 10)) AS k, unnest(p) AS v FROM {MULTICLASS}),
+    s AS (SELECT k, exp(v) / sum(exp(v)) OVER (PARTITION BY row_id) - CASE WHEN k = y THEN 1.0 ELSE 0.0 END AS g FROM e)
+    SELECT CAST(k AS INT) AS k FROM (SELECT k, var_pop(g) AS v FROM s GROUP BY k) ORDER BY v DESC LIMIT 1""",
+)
+_add(
+    "cv_aggregate",
+    lambda s, d: _round(_read(s, d, "orders").groupBy((F.col("o_orderkey") % 3).alias("fold"), F.month("o_orderdate").alias("iteration")).agg(F.avg("o_totalprice").alias("m")).groupBy("iteration").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std")), 4),
+    "SELECT iteration, round(avg(m), 4) AS mean, round(stddev_pop(m), 4) AS std FROM (SELECT o_orderkey % 3 AS fold, CAST(month(o_orderdate) AS INT) AS iteration, avg(o_totalprice) AS m FROM orders GROUP BY 1, 2) GROUP BY iteration",
+)
+_add(
+    "best_so_far",
+    lambda s, d: _read(s, d, "events").filter("event_id < 500").select("event_id", F.min("value").over(Window.orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("best")),
+    "SELECT event_id, min(value) OVER (ORDER BY event_id) AS best FROM events WHERE event_id < 500",
+)
+_add("predict_proba", lambda s, d: _round(_binary(s, d).select("row_id", C.sigmoid(F.col("p")).alias("proba"), (F.col("p") >= 0).cast("int").alias("label"))), f"SELECT row_id, round({SIGMOID}, 6) AS proba, CAST(p >= 0 AS INT) AS label FROM {BINARY}")
+_add(
+    "collapse_rare",
+    lambda s, d: _read(s, d, "part").select("p_partkey", F.when(F.count(F.lit(1)).over(Window.partitionBy("p_brand")) < 80, F.lit("rare")).otherwise(F.col("p_brand")).alias("brand")),
+    "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) < 80 THEN 'rare' ELSE p_brand END AS brand FROM part",
+)
+_add("log1p_target", lambda s, d: _round(_read(s, d, "part").select("p_partkey", F.log1p("p_retailprice").alias("t"), F.expm1(F.log1p("p_retailprice")).alias("back"))), "SELECT p_partkey, round(ln(1 + p_retailprice), 6) AS t, round(exp(ln(1 + p_retailprice)) - 1, 6) AS back FROM part")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Two boosting rounds and the scores they give."""
     rows = _small(spark, d)
