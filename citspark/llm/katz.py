@@ -186,7 +186,8 @@ def word_model(documents: DataFrame, learn: Callable[[object], bool], p: Katz) -
         if spread[c] > room:
             break
         room, least = room - spread[c], c
-    top = words.filter(F.col("c") >= least).toPandas() if least < 1 << 62 else pd.DataFrame({"w": [], "c": []})
+    # Columns, not row objects: two numbers a word on the driver.
+    top = words.filter(F.col("c") >= least).select("w", "c").toArrow()
     hashes = top["w"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     d = discounts([spread.get(r, 0) for r in range(_K + 2)], p.floor)
