@@ -52,9 +52,9 @@ class Katz:
     """
 
     top: int = 1 << 20
-    bucket_tokens: int = 3_000_000
+    bucket_tokens: int = 2_000_000
     context_tokens: int = 500_000
-    batch_tokens: int = 2_000_000
+    batch_tokens: int = 1_500_000
     floor: float = 1e-4
 
 
@@ -289,20 +289,26 @@ def _solve_bucket(blobs: list[bytes], bucket: int, hashes: np.ndarray, counts: n
     for uh, nh, w, place, ids, _, _ in parts:
         hs.append(np.repeat(uh, nh))
         ws.append(w)
-        ds.append(place.astype(np.int64) + base_doc)
+        ds.append((place + np.uint32(base_doc)).astype(np.int32))
         base_doc += len(ids)
-    h, w, doc = np.concatenate(hs), np.concatenate(ws), np.concatenate(ds)
     ids, keys, flags = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
-    del parts, hs, ws, ds
-    order = np.lexsort((w, h))
-    h, w, doc = h[order], w[order], doc[order]
-    train = (flags[doc] & 1).astype(np.int64)
+    del parts, uh, nh, w, place
+    # Each list goes as soon as it is joined, and each array as soon as it is sorted.
+    h, w, doc = np.concatenate(hs), np.concatenate(ws), np.concatenate(ds)
+    del hs, ws, ds
+    order = np.lexsort((w, h)).astype(np.int32)
+    h = h[order]
+    w = w[order]
+    doc = doc[order]
+    del order
+    train = (flags & 1).astype(np.int32)[doc]
     pair = _runs(h, w)
-    pair_of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(h))))
+    pair_of = np.repeat(np.arange(len(pair), dtype=np.int32), np.diff(np.append(pair, len(h))))
     c_pair = np.add.reduceat(train, pair)
     ctx = _runs(h)
-    ctx_of = np.repeat(np.arange(len(ctx)), np.diff(np.append(ctx, len(h))))
-    c_ctx, uh = np.add.reduceat(train, ctx), h[ctx]
+    ctx_of = np.repeat(np.arange(len(ctx), dtype=np.int32), np.diff(np.append(ctx, len(h))))
+    c_ctx, uh = np.add.reduceat(train, ctx).astype(np.int64), h[ctx]
+    del train
     coded = (uh >= 16) & (uh < _TOP_BIT)
     c_ctx[coded] = counts[uh[coded].astype(np.int64) - 16]  # also of contexts dealt to several buckets
     c_ctx[uh == START] = start_count
@@ -316,6 +322,7 @@ def _solve_bucket(blobs: list[bytes], bucket: int, hashes: np.ndarray, counts: n
 
     # Documents: the resolved part.
     c, ch = c_pair[pair_of], c_ctx[ctx_of]
+    del pair_of, ctx_of
     seen = c > 0
     value = np.zeros(len(h))
     value[seen] = np.log10(c[seen] / ch[seen])
@@ -326,6 +333,7 @@ def _solve_bucket(blobs: list[bytes], bucket: int, hashes: np.ndarray, counts: n
     own = pd.DataFrame({"doc_id": ids, "no_id": (flags & 2) > 0, "text_key": keys, "train": (flags & 1) > 0, "v": add(value), "base": add(lone), "known": add(near & (cw > 0)), "tokens": add(np.ones(len(h))), "ends": add(w == END), "big": add(seen & (c > _K)), **{f"r{r}": add(c == r) for r in range(1, _K + 1)}})
     yield own.groupby(["doc_id", "no_id", "text_key", "train"], as_index=False).sum().assign(kind="document")
     # Unseen pairs, and words without a code, of each document.
+    del own, value, lone
     odd = np.flatnonzero(~seen | ~near)
     for lo in range(0, len(odd), 200_000):
         i = odd[lo : lo + 200_000]
