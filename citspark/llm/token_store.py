@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,55 +135,86 @@ class TokenFile:
         return self.ids[a:b]
 
 
+#: Characters below the first of which all letters and digits are long settled.
+_PLAIN = re.compile("[!-~\xa1-\u052f]*")
+_ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones as they are."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Memo(dict):
+    """Computes what it lacks; what ``keep`` allows is kept."""
+
+    def __init__(self, compute, keep):
+        super().__init__()
+        self.compute, self.keep = compute, keep
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        if self.keep(key):
+            self[key] = value
+        return value
+
+
 class CachedEncoder:
-    """Encodes texts with a tokenizer that never joins words across white space.
+    """Encodes texts with a lower-casing byte-level BPE that drops white space.
 
     The ids of each chunk between ASCII white space are kept as bytes, in two
     generations of at most ``limit`` chunks, so that memory is bounded and
-    common chunks are encoded once.  Long chunks are encoded each time.  The
-    result equals encoding the whole text, as the tokenizer drops white space
-    and no rule of its reaches over it.
+    common chunks are encoded once.  A new chunk of Latin, Greek or Cyrillic
+    letters is cut into the tokenizer's pieces, and only pieces not met before
+    go through the library's merges; any other chunk goes through the whole
+    tokenizer.  The result equals encoding the whole text, as no rule of the
+    tokenizer reaches over white space; the tests compare both.
     """
 
     def __init__(self, path: str, width: int, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.width, self.limit = Tokenizer.from_file(path), width, limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model, self.normalizer, self.letters = self.tokenizer.model, self.tokenizer.normalizer, _byte_letters()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.added)
+        short = lambda key: len(key) <= 64
+        self.chunks, self.pieces = _Memo(self._chunk, short), _Memo(self._piece, short)
+        self.old: dict[bytes, bytes] = {}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.model.tokenize(spelt)])
+
+    def _chunk(self, key: bytes) -> bytes:
+        if (held := self.old.get(key)) is not None:
+            return held
+        chunk = key.decode("utf-8", "surrogatepass")
+        plain = chunk.isascii()
+        if not (chunk.isprintable() if plain else _PLAIN.fullmatch(chunk)) or (self.mark in chunk and any(t in chunk for t in self.added)):
+            return self._pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        low = chunk.lower() if plain else self.normalizer.normalize_str(chunk)
+        if plain and low.isalpha():
+            return self.pieces[low]
+        return b"".join(map(self.pieces.__getitem__, (_ASCII_PIECES if plain else _PIECES).findall(low)))
 
     def encode(self, text: str) -> bytes:
-        chunks = _chunks(text)
-        young = self.young
-        missing = [c for c in dict.fromkeys(chunks) if c not in young]
-        extra: dict[str, bytes] = {}
-        if missing:
-            fresh = []
-            for c in missing:
-                if (v := self.old.get(c)) is not None:
-                    young[c] = v
-                else:
-                    fresh.append(c)
-            if fresh:
-                for c, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                    (young if len(c) <= 64 else extra)[c] = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
-        if extra:
-            out = b"".join([extra[c] if c in extra else young[c] for c in chunks])
-        else:
-            out = b"".join([young[c] for c in chunks])
-        if len(young) > self.limit:
-            self.old, self.young = young, {}
+        # Bytes split at ASCII white space alone; other white space stays inside.
+        out = b"".join(map(self.chunks.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+        if len(self.chunks) > self.limit:
+            self.old = dict(self.chunks)
+            self.chunks.clear()
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
         return out
 
 
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
-def _chunks(text: str) -> list[str]:
-    """Chunks between ASCII white space; other white space stays inside."""
-    return [c for c in text.translate(_SPACES).split(" ") if c] if text else []
-
-
 _ENCODERS: dict[tuple, CachedEncoder] = {}
 
 
