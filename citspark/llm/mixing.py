@@ -146,11 +146,13 @@ def mix_sources(rows: DataFrame, weights: Mapping[str | None, float] | None = No
     return placed.select(*(F.col(c) for c in rows.columns if c not in ("phase", "slot", "mix_order", "share")), "phase", "slot", "mix_order", share)
 
 
-def mixed_order(rows: DataFrame, weights: Mapping[str | None, float] | None = None, mix: Mix = Mix(), source: str = "source", order: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def mixed_order(rows: DataFrame, weights: Mapping[str | None, float] | None = None, mix: Mix = Mix(), source: str = "source", order: tuple[str, ...] = ("doc_id", "text"), place: str | None = None) -> DataFrame:
     """``rows`` sorted by mix_order, so that files written from it hold the mixture in order.
 
-    Within a source rows are shuffled by a hash of the ``order`` columns.
+    Within a source rows are shuffled by a hash of the ``order`` columns.  With
+    ``place`` the order stays as a column of that name, for consumers that
+    would deal the rows anew.
     """
     keyed = rows.withColumn("__key", F.xxhash64(*order))
     placed = mix_sources(keyed, weights, mix, source, ("__key",))
-    return placed.repartitionByRange(F.col("mix_order")).sortWithinPartitions("mix_order").select(*rows.columns)
+    return placed.repartitionByRange(F.col("mix_order")).sortWithinPartitions("mix_order").select(*(c for c in rows.columns if c != place), *([F.col("mix_order").alias(place)] if place else []))

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import check_columns, dense_rank_in, stage_table
+from .common import check_columns, dense_rank_in, rank_by_cells, stage_table
 
 #: Gains count in so many steps and ties in so many hash cells when quotas admit movers.
 _STEPS, _CELLS = 64, 256
@@ -121,11 +121,23 @@ def _admit(moves: DataFrame, room: list[int]) -> DataFrame:
     return local.filter(F.col("place") < F.get(_array([max(0, r) for r in room]), F.col("to"))).select("node", "to")
 
 
-def assign_shards(rows: DataFrame, links: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame:
+def _in_order(placed: DataFrame, order: str, total: int, cells: int) -> DataFrame:
+    """``placed`` with slot: gapless from 0 in each shard, by ``order`` and then node.
+
+    Cells are ranges of equal width of the order, so no task sorts a whole shard.
+    """
+    low, high = placed.agg(F.min(order), F.max(order)).first() if total else (0, 0)
+    width = (high - low) // cells + 1
+    celled = placed.withColumn("__cell", F.floor((F.col(order) - low) / width).cast("int"))
+    return rank_by_cells(celled, "shard", "__cell", [order, "node"], "slot", "__slot_offset")
+
+
+def assign_shards(rows: DataFrame, links: DataFrame, shards: int = 8, rounds: int = 4, order: str | None = None) -> DataFrame:
     """``rows`` (with a unique ``node``) with shard and slot; sizes at most one apart.
 
     links: node, grp.  Groups of one node link nothing.  slot is gapless from 0
-    in each shard.  Empty tables give empty results.
+    in each shard: by a hash of the node, or by the long column ``order`` where
+    one is named.  Empty tables give empty results.
     """
     check_columns(rows, "node")
     check_columns(links, "node", "grp")
@@ -143,7 +155,10 @@ def assign_shards(rows: DataFrame, links: DataFrame, shards: int = 8, rounds: in
     alone = rows.select("node").join(labels, "node", "left_anti").withColumn("__all", F.lit(0))
     filled = dense_rank_in(alone, "__all", ["node"], "place", cells).select("node", F.size(F.filter(_array(ends), lambda e: e <= F.col("place"))).cast("int").alias("shard"))
     placed = stage_table(labels.select("node", "shard").unionByName(filled), "shard-placed")
-    slotted = dense_rank_in(placed, "shard", ["node"], "slot", cells)
+    if order is None:
+        slotted = dense_rank_in(placed, "shard", ["node"], "slot", cells)
+    else:
+        slotted = _in_order(placed.join(rows.select("node", order), "node"), order, total, cells)
     return rows.join(slotted.select("node", "shard", "slot"), "node")
 
 
@@ -154,9 +169,9 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__grp", group)
 
 
-def _numbered(keyed: DataFrame, repeats: bool) -> DataFrame:
-    """``node``: unique for each row; rows equal in id and text are numbered."""
-    copy = F.row_number().over(Window.partitionBy("__id", "__grp").orderBy("__id")) if repeats else F.lit(1)
+def _numbered(keyed: DataFrame, repeats: bool, order: str | None = None) -> DataFrame:
+    """``node``: unique for each row; rows equal in id and text are numbered, by ``order`` where it is named."""
+    copy = F.row_number().over(Window.partitionBy("__id", "__grp").orderBy(order or "__id")) if repeats else F.lit(1)
     return keyed.withColumn("__copy", copy).withColumn("node", F.struct("__id", "__grp", "__copy")).drop("__copy")
 
 
@@ -185,13 +200,17 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 4) -> D
     return placed.select(F.col("__id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def sharded(documents: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame:
-    """``documents`` with shard and slot, by the same rules; all columns stay."""
-    check_columns(documents, "doc_id", "text")
+def sharded(documents: DataFrame, shards: int = 8, rounds: int = 4, order: str | None = None) -> DataFrame:
+    """``documents`` with shard and slot, by the same rules; all columns stay.
+
+    With ``order``, a column of longs, the slots of each shard follow it.
+    """
+    check_columns(documents, "doc_id", "text", *([order] if order else []))
     keyed = _keyed(documents)
-    slim = stage_table(keyed.select("__id", "__grp"), "shard-keys")
+    orders = [F.col(order).alias("__order")] if order else []
+    slim = stage_table(keyed.select("__id", "__grp", *orders), "shard-keys")
     repeats = _repeats(slim)
-    nodes = _numbered(slim, repeats)
-    placed = assign_shards(nodes.select("node"), nodes.select("node", F.col("__grp").alias("grp")), shards, rounds)
-    whole = _numbered(keyed, repeats)
+    nodes = _numbered(slim, repeats, order and "__order")
+    placed = assign_shards(nodes.select("node", *(["__order"] if order else [])), nodes.select("node", F.col("__grp").alias("grp")), shards, rounds, order and "__order")
+    whole = _numbered(keyed, repeats, order)
     return whole.join(placed.select("node", "shard", "slot"), "node").select(*documents.columns, "shard", "slot")

@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: filter, dedup, decontaminate, mix, shard.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept.  All but the last return the columns of ``docs``.
+kept.  The first three return the columns of ``docs``; ``mix`` adds mix_order,
+which ``shard`` turns into the order of each shard's slots and drops.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the documents in the order of the mixture of their sources."""
-    return mixing.mixed_order(docs)
+    """Puts the documents in the order of the mixture of their sources and adds it as mix_order."""
+    return mixing.mixed_order(docs, place="mix_order")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds shard and slot to each document."""
-    return sharding.sharded(docs)
+    """Adds shard and slot to each document; the slots of a shard follow mix_order."""
+    return sharding.sharded(docs, order="mix_order").drop("mix_order")
 
 
 STAGES = [

@@ -469,3 +469,25 @@ def test_pipeline_matches_its_parts(spark, tmp_path):
     assert {r.doc_id for r in got if r.doc_id is not None} == clean
     sizes = Counter(r.shard for r in got)
     assert max(sizes.values()) - min(sizes[s] for s in range(8)) <= 1
+
+
+def test_pipeline_slots_follow_the_mixture(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(i, f"text {i}", "en", "big" if i % 4 else "small", 6) for i in range(400)] + [(5, "text 5", "en", "big", 6), (None, None, "en", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    mixed = corpus_pipeline.mix(spark, docs, str(tmp_path))
+    # A mixture in another order must give another order of slots: reversed here.
+    for sign in (1, -1):
+        given = common.stage_table(mixed.withColumn("mix_order", sign * F.col("mix_order")), "mixed-test")
+        out = corpus_pipeline.shard(spark, given, str(tmp_path))
+        assert out.columns == [*docs.columns, "shard", "slot"]
+        at, found = {}, out.collect()
+        for r in given.collect():
+            at.setdefault((r.doc_id, r.text), []).append(r.mix_order)
+        assert len(found) == len(rows)
+        for s in range(8):
+            inside = sorted((r.slot, r.doc_id, r.text) for r in found if r.shard == s)
+            assert [x[0] for x in inside] == list(range(len(inside)))
+            first = [min(at[x[1:]]) for x in inside if len(at[x[1:]]) == 1]
+            assert first == sorted(first)
