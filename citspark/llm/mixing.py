@@ -6,11 +6,12 @@ deadline takes each slot.  As the weights sum to one this order misses no
 deadline, so after any number of slots t each source has had more than w*t - 1
 and fewer than w*t + 1 blocks.
 
-Weights are whole shares of ``shares`` slots, so the order repeats with that
-period: one period a phase is simulated on the driver, over tables bounded by
-``max_sources`` and ``shares``, and a row's slot is arithmetic on its block's
-number.  When a source runs out a phase ends and the others share its weight in
-a new one, so all rows are placed.  The rows go through DataFrame functions only.
+Weights are exact: whole numbers in the ratio of the given ones.  One period of
+the order, or the whole phase where it is shorter, is laid out on the driver:
+work and memory follow the number of blocks, eight bytes or so a block, and a
+row's slot is a look-up by its block's number.  When a source runs out a phase
+ends and the others share its weight in a new one, so all rows are placed.  The
+rows go through DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from array import array
+from bisect import bisect_left
 from collections.abc import Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +33,10 @@ from .common import check_columns, dense_rank_in
 
 @dataclass(frozen=True)
 class Mix:
-    """block_rows: rows a block; shares: slots a period; max_sources: bound of sources.
+    """block_rows: rows a block; max_sources: bound of sources.
 
+    shares: slots a row of the broadcast table of slots holds; the order does
+        not depend on it.
     temper: without target weights a source weighs its rows to this power.
     """
 
@@ -40,62 +46,68 @@ class Mix:
     temper: float = 0.5
 
 
-def whole_shares(weights: list[float], shares: int) -> list[int]:
-    """Shares >= 1 that sum to ``shares``, nearest the weights (largest remainders)."""
-    total = sum(weights)
-    ideal = [w / total * shares for w in weights]
-    out = [max(1, math.floor(x)) for x in ideal]
-    order = sorted(range(len(weights)), key=lambda i: (out[i] - ideal[i], i))
-    k = 0
-    while (gap := shares - sum(out)) != 0:
-        i = order[k % len(order)] if gap > 0 else max(range(len(out)), key=lambda i: (out[i] - ideal[i] if out[i] > 1 else -math.inf, -i))
-        out[i] += 1 if gap > 0 else -1
-        k += 1
-    return out
+def whole_shares(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the ratio of the weights, without a common divisor."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    whole = [int(w * scale) for w in exact]
+    common = math.gcd(*whole)
+    return [q // common for q in whole]
+
 
+def layout(shares: list[int], left: list[int]) -> tuple[int, list[array]]:
+    """Slots of each source, EDF over released blocks, and their number.
 
-def period(shares: list[int]) -> list[list[int]]:
-    """Slots of each source in one period of sum(shares) slots: EDF over released blocks."""
+    Ends behind the last block of the first source to run out, or after a whole
+    period of sum(shares) slots.  A source's next block is looked at once the one
+    before has its slot: it is due later, so it never goes first.
+    """
     size = sum(shares)
-    released: list[list[int]] = [[] for _ in range(size)]
-    for i, q in enumerate(shares):
-        for j in range(q):
-            released[j * size // q].append(i)
+    slots = [array("q") for _ in shares]
+    soon = [(0, i) for i in range(len(shares))]  # release and source of the next blocks
     due: list[tuple[int, int]] = []
-    slots: list[list[int]] = [[] for _ in shares]
-    count = [0] * len(shares)  # blocks released so far
     for t in range(size):
-        for i in released[t]:
-            count[i] += 1
-            heapq.heappush(due, (-(-count[i] * size // shares[i]), i))
-        slots[heapq.heappop(due)[1]].append(t)
-    return slots
+        while soon and soon[0][0] <= t:
+            _, i = heapq.heappop(soon)
+            heapq.heappush(due, (-(-(len(slots[i]) + 1) * size // shares[i]), i))
+        _, i = heapq.heappop(due)
+        slots[i].append(t)
+        done = len(slots[i])
+        if done == left[i]:
+            return t + 1, slots
+        heapq.heappush(soon, (done * size // shares[i], i))
+    return size, slots
 
 
 @dataclass(frozen=True)
 class Phase:
-    """A stretch of slots with one set of weights."""
+    """A stretch of slots with one set of weights; ``slots`` repeat every sum(shares) slots."""
 
     start: int
     length: int
     sources: list[int]
     shares: list[int]
-    slots: list[list[int]]
+    slots: list[array]
     first: list[int]
     last: list[int]
 
 
-def phases(blocks: list[int], weights: list[float], shares: int) -> list[Phase]:
-    """Phases that place all ``blocks``; sources of weight 0 come when the others are done."""
+def phases(blocks: list[int], weights: list[float], shares: int = 1024) -> list[Phase]:
+    """Phases that place all ``blocks``; sources of weight 0 come when the others are done.
+
+    ``shares`` has no effect: weights are not rounded to it any more.
+    """
     left, at, out = list(blocks), 0, []
     while any(left):
         live = [i for i, n in enumerate(left) if n and weights[i] > 0] or [i for i, n in enumerate(left) if n]
         own = [weights[i] if weights[live[0]] > 0 else float(left[i]) for i in live]
-        q = whole_shares(own, max(shares, 4 * len(live)))
-        size, slots = sum(q), period(q)
-        # A source runs out behind the slot of its last block; the first to do so ends the phase.
-        end = min((left[i] - 1) // q[k] * size + slots[k][(left[i] - 1) % q[k]] + 1 for k, i in enumerate(live))
-        used = [end // size * q[k] + sum(s < end % size for s in slots[k]) for k in range(len(live))]
+        q = whole_shares(own)
+        size = sum(q)
+        end, slots = layout(q, [left[i] for i in live])
+        if end == size:
+            # A source runs out behind the slot of its last block; the first to do so ends the phase.
+            end = min((left[i] - 1) // q[k] * size + slots[k][(left[i] - 1) % q[k]] + 1 for k, i in enumerate(live))
+        used = [end // size * q[k] + bisect_left(slots[k], end % size) for k in range(len(live))]
         first = [blocks[i] - left[i] for i in live]
         out.append(Phase(at, end, live, q, slots, first, [f + u for f, u in zip(first, used)]))
         for i, u in zip(live, used):
@@ -104,6 +116,10 @@ def phases(blocks: list[int], weights: list[float], shares: int) -> list[Phase]:
     return out
 
 
+#: The largest number that tables of the plan hold for shares.
+_LONG = 1 << 62
+
+
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from values in the plan."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -119,7 +135,8 @@ def mix_sources(rows: DataFrame, weights: Mapping[str | None, float] | None = No
     rows are neighbours.  ``weights`` maps sources to target weights, of any
     scale; sources without one get weight 0 and come last.  A null source is a
     source of its own.  No row is dropped or repeated, an empty table stays
-    empty, and more than ``max_sources`` sources are an error.
+    empty, and more than ``max_sources`` sources are an error.  share is the
+    target weight of the row's source among the sources of its phase.
     """
     check_columns(rows, source, *order)
     spark = rows.sparkSession
@@ -131,18 +148,29 @@ def mix_sources(rows: DataFrame, weights: Mapping[str | None, float] | None = No
     goals = [float(weights.get(x, 0.0)) for x in names] if weights is not None else [n**mix.temper for n in sizes]
     plan = phases([-(-n // mix.block_rows) for n in sizes], goals, mix.shares)
     ids = _table(spark, [(i, x) for i, x in enumerate(names)], "__source int, __name string")
-    spans = _table(spark, [(i, e, p.first[k], p.last[k], p.shares[k], sum(p.shares), p.start) for e, p in enumerate(plan) for k, i in enumerate(p.sources)], "__source int, phase int, __first long, __last long, __q long, __size long, __start long")
-    slots = _table(spark, [(i, e, j, s) for e, p in enumerate(plan) for k, i in enumerate(p.sources) for j, s in enumerate(p.slots[k][: p.last[k] - p.first[k]])], "__source int, phase int, __j long, __at long")
+    # Shares beyond a long belong to periods that do not repeat: any number above the phase's blocks serves.
+    spans = _table(
+        spark,
+        [(i, e, p.first[k], p.last[k], min(p.shares[k], _LONG), min(sum(p.shares), _LONG), p.start, p.shares[k] / sum(p.shares)) for e, p in enumerate(plan) for k, i in enumerate(p.sources)],
+        "__source int, phase int, __first long, __last long, __q long, __size long, __start long, __share double",
+    )
+    slots = _table(
+        spark,
+        [(i, e, j // mix.shares, p.slots[k][j : j + mix.shares].tolist()) for e, p in enumerate(plan) for k, i in enumerate(p.sources) for j in range(0, min(len(p.slots[k]), p.last[k] - p.first[k]), mix.shares)],
+        "__source int, phase int, __part long, __slots array<bigint>",
+    )
     cells = min(1 << 14, max(16, math.ceil(max(sizes, default=0) / 50_000)))
     placed = rows.join(F.broadcast(ids), rows[source].cast("string").eqNullSafe(F.col("__name"))).drop("__name")
     placed = dense_rank_in(placed, "__source", list(order), "__place", cells, broadcast_offsets=True)
     block = F.floor(F.col("__place") / mix.block_rows)
     placed = placed.withColumn("__block", block).join(F.broadcast(spans), "__source").filter((F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__last")))
     local = F.col("__block") - F.col("__first")
-    placed = placed.withColumn("__j", (local % F.col("__q")).cast("long")).join(F.broadcast(slots), ["__source", "phase", "__j"])
-    slot = F.col("__start") + F.floor(local / F.col("__q")) * F.col("__size") + F.col("__at")
+    turn = F.floor(local / F.col("__q"))
+    placed = placed.withColumn("__j", (local % F.col("__q")).cast("long")).withColumn("__part", F.floor(F.col("__j") / mix.shares)).join(F.broadcast(slots), ["__source", "phase", "__part"])
+    at = F.get("__slots", (F.col("__j") % mix.shares).cast("int"))
+    slot = F.col("__start") + turn * F.col("__size") + at
     placed = placed.withColumn("slot", slot.cast("long")).withColumn("mix_order", (F.col("slot") * mix.block_rows + F.col("__place") % mix.block_rows).cast("long"))
-    share = (F.col("__q") / F.col("__size")).alias("share")
+    share = F.col("__share").alias("share")
     return placed.select(*(F.col(c) for c in rows.columns if c not in ("phase", "slot", "mix_order", "share")), "phase", "slot", "mix_order", share)
 
 

@@ -491,3 +491,24 @@ def test_pipeline_slots_follow_the_mixture(spark, tmp_path, monkeypatch):
             assert [x[0] for x in inside] == list(range(len(inside)))
             first = [min(at[x[1:]]) for x in inside if len(at[x[1:]]) == 1]
             assert first == sorted(first)
+
+
+def test_mixing_follows_the_target_weights_themselves():
+    cases = [([1000] * 20, [1.0] * 20), ([5000, 5000, 3], [1.0, 1.0, 0.0001]), ([4000, 3000, 2000], [0.1, 0.2, 0.7]), ([2000, 900, 50], [n**0.5 for n in (2000, 900, 50)])]
+    for blocks, weights in cases:
+        at = 0
+        left = list(blocks)
+        for ph in mixing.phases(blocks, weights, 1024):
+            live = [i for i, n in enumerate(left) if n and weights[i] > 0]
+            assert sorted(live) == sorted(ph.sources) and ph.start == at
+            whole, order = sum(weights[i] for i in live), {}
+            for k, i in enumerate(ph.sources):
+                for b in range(ph.last[k] - ph.first[k]):
+                    order[b // ph.shares[k] * sum(ph.shares) + ph.slots[k][b % ph.shares[k]]] = i
+                left[i] -= ph.last[k] - ph.first[k]
+            count = Counter()
+            for t in range(ph.length):
+                count[order[t]] += 1
+                assert all(abs(count[i] - (t + 1) * weights[i] / whole) < 1 + 1e-6 for i in live)
+            at += ph.length
+        assert at == sum(blocks) and not any(left)
