@@ -33,7 +33,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     out = quality.quality_rules(documents.select("doc_id", "text"), labels)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "threshold")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "threshold", "toxic_score", "toxic_threshold")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -512,3 +512,22 @@ def test_mixing_follows_the_target_weights_themselves():
                 assert all(abs(count[i] - (t + 1) * weights[i] / whole) < 1 + 1e-6 for i in live)
             at += ph.length
         assert at == sum(blocks) and not any(left)
+
+
+def test_quality_rejects_toxic_documents_by_a_few_words(spark):
+    rng, rows = random.Random(6), []
+    for i in range(400):
+        words = [rng.choice(WORDS) for _ in range(rng.choice((40, 40, 2000)))]
+        if i % 5 == 0:
+            words[rng.randrange(len(words))] = rng.choice(("vile", "nasty"))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    found = quality.quality_rules(docs, labels).collect()
+    good = [r for r in found if not r.base_failed]
+    assert {r.doc_id for r in good if r.toxic_score >= r.toxic_threshold} == {r.doc_id for r in good if r.doc_id % 5 == 0}
+    assert not any(r.kept for r in found if r.doc_id % 5 == 0)
+    clean = [r for r in good if r.doc_id % 5]
+    assert all(r.kept == (r.llr >= r.threshold) for r in clean) and sum(r.kept for r in clean) >= 0.95 * len(clean)
+    for r in found:
+        assert (r.toxic_score > 0) == (r.doc_id % 5 == 0)
