@@ -11,30 +11,36 @@ from pyspark.sql import functions as F
 
 from citspark.functions.columns import bin_of
 
-#: Beyond so many distinct values cuts come from a mergeable quantile sketch.
-EXACT_DISTINCT = 1 << 20
+#: Ranges of values that running sums are split into.
+RANGES = 64
 
 
 def quantile_cut_table(df: DataFrame, feature: str, max_bins: int) -> DataFrame:
     """Exact cuts as rows: values at sorted places floor(b n / B), strictly increasing.
 
-    Values are counted first, so the running sum sees distinct values only.
+    Values are counted first, so the running sums see distinct values only.  These
+    are dealt to ranges; the ranges' totals, one row each, give each its offset.
     """
     v = F.col(feature).cast("float").cast("double")
     counts = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"))
-    upto = counts.withColumn("hi", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    goals = total.select(F.col("t"), F.least(F.lit(max_bins).cast("long"), F.col("t")).alias("b")).filter("b > 1").select(F.explode(F.transform(F.sequence(F.lit(1), (F.col("b") - 1).cast("int")), lambda k: F.floor(k * F.col("t") / F.col("b")))).alias("at"))
-    joined = upto.join(F.broadcast(goals), (F.col("at") < F.col("hi")) & (F.col("at") >= F.col("hi") - F.col("n")))
+    # Bounds of ranges only deal rows out: any bounds give the same cuts.
+    goals = [k / RANGES for k in range(1, RANGES)]
+    bounds = counts.agg(F.percentile_approx("v", goals, 20 * RANGES)).first()[0] or []
+    dealt = counts.withColumn("range", bin_of(F.col("v"), sorted(set(bounds))))
+    totals = dealt.groupBy("range").agg(F.sum("n").alias("t"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
+    local = F.sum("n").over(Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    upto = dealt.withColumn("local", local).join(F.broadcast(offsets), "range").select("v", "n", (F.col("local") + F.col("offset")).alias("hi"))
+    total = totals.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"))
+    wanted = total.select(F.col("t"), F.least(F.lit(max_bins).cast("long"), F.col("t")).alias("b")).filter("b > 1").select(F.explode(F.transform(F.sequence(F.lit(1), (F.col("b") - 1).cast("int")), lambda k: F.floor(k * F.col("t") / F.col("b")))).alias("at"))
+    joined = upto.join(F.broadcast(wanted), (F.col("at") < F.col("hi")) & (F.col("at") >= F.col("hi") - F.col("n")))
     first = counts.agg(F.min("v").alias("lo"))
     return joined.select("v").distinct().join(F.broadcast(first)).filter("v > lo").select(F.col("v").alias("cut"))
 
 
 def quantile_cuts(df: DataFrame, feature: str, max_bins: int = 256) -> list[float]:
-    """Exact cuts up to EXACT_DISTINCT distinct values, else approximate ones; at most max_bins - 1."""
-    if df.agg(F.approx_count_distinct(feature)).first()[0] > EXACT_DISTINCT:
-        goals = [b / max_bins for b in range(1, max_bins)]
-        return sorted(set(df.select(F.col(feature).cast("float").cast("double").alias("v")).filter(~F.isnan("v")).agg(F.percentile_approx("v", goals, 20 * max_bins)).first()[0] or []))
+    """Exact cuts at any size, at most max_bins - 1."""
     return sorted(r.cut for r in quantile_cut_table(df, feature, max_bins).collect())
 
 

@@ -70,6 +70,14 @@ def test_quantile_cuts(spark):
     assert Q.quantile_cuts(frame(spark, [(float(v),) for v in many], "v double"), "v", 8) == [513, 1025, 1537, 2049, 2561, 3073, 3585]
 
 
+def test_quantile_cuts_are_exact_beyond_a_million_values(spark):
+    n = 1_200_000
+    # Half of the rows share the least value, which is never a cut.
+    df = spark.range(2 * n).select(F.when(F.col("id") < n, 0).otherwise(F.col("id") - n).cast("double").alias("v"))
+    want = sorted({max(0, b * 2 * n // 7 - n) for b in range(1, 7)} - {0})
+    assert Q.quantile_cuts(df, "v", 7) == want
+
+
 def test_missing_bins(spark):
     df = frame(spark, [(1.0,), (None,), (float("nan"),), (2.0,), (3.0,)], "v double")
     for mode, want in (("min", [1, 0, 0, 2, 3]), ("max", [0, 3, 3, 1, 2])):
