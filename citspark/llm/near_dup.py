@@ -7,9 +7,14 @@
 2. Within a band key every member is paired with the smallest one.  A group of
    n near copies gives n pairs, not n squared.  Pairs are verified on full sets.
    The same then happens with each key's most central member.
-3. What these links leave unconnected under one band key is compared across
-   components, in blocks of bounded size by signature, and verified in turn.
-   So no candidate pair of different components is skipped.
+3. What these links leave unconnected under one band key goes by shingles.  A
+   shingle counts for a member only if a member of another component holds it
+   too.  Two members that share a *rare* one (fewer than ``rare`` holders) meet
+   there, if it is early enough in both sets' order of frequency; the others can
+   share frequent ones only, so both need enough of these, and the few that have
+   them are compared across components, in blocks of bounded size.  Both rules
+   are exact bounds of the overlap: no candidate pair that could be similar
+   enough is skipped, and members that can reach nobody make no pairs at all.
 4. Components by contraction: labels, links and joins stay distributed.
 
 Two sets of similarity 0.8 share no key of ``bands`` x ``rows`` = 40 x 5 with a
@@ -37,6 +42,8 @@ class NearDup:
 
     estimate: signature similarity below which a residual pair is not verified.
     block: members of one key that meet in one task, at most twice that.
+    rare: holders from which on a shingle is frequent; bounds the pairs that a
+        member gets from one shingle.
     salt_rows: members of one leader that are verified in one group.
     """
 
@@ -46,6 +53,7 @@ class NearDup:
     rows: int = 5
     estimate: float = 0.65
     block: int = 256
+    rare: int = 64
     salt_rows: int = 2000
 
 
@@ -130,6 +138,19 @@ def _in_bitmap(bits: Column, h: Column) -> Column:
     return F.pmod(F.call_function("shiftright", word, place), F.lit(2)) == 1
 
 
+def _texts_of(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """id, key, text of the documents named by ``nodes`` (id, key), once each.
+
+    Most documents are in no pair: a bitmap of fixed size drops nearly all of
+    them before their texts move; the join then decides.
+    """
+    nodes = stage_table(nodes, "neardup-nodes")
+    bits = stage_table(_bitmap(nodes), "neardup-bitmap")
+    texts = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
+    texts = texts.withColumn("__bits", bits.scalar()).filter(_in_bitmap(F.col("__bits"), F.xxhash64("id", "key"))).drop("__bits")
+    return texts.join(nodes, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+
+
 def verify(pairs: DataFrame, documents: DataFrame, p: NearDup) -> DataFrame:
     """Pairs (a, a_key, b, b_key) whose full shingle sets are similar enough.
 
@@ -138,14 +159,7 @@ def verify(pairs: DataFrame, documents: DataFrame, p: NearDup) -> DataFrame:
     """
     per = pairs.groupBy("a", "a_key").agg(F.ceil(F.count(F.lit(1)) / p.salt_rows).cast("int").alias("salts"))
     nodes = pairs.select(F.col("a").alias("id"), F.col("a_key").alias("key")).union(pairs.select("b", "b_key")).distinct()
-    nodes = stage_table(nodes, "neardup-nodes")
-    # Most documents are in no pair: a bitmap of fixed size drops nearly all of them
-    # before their texts move; the join then decides.
-    bits = stage_table(_bitmap(nodes), "neardup-bitmap")
-    texts = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
-    texts = texts.withColumn("__bits", bits.scalar()).filter(_in_bitmap(F.col("__bits"), F.xxhash64("id", "key"))).drop("__bits")
-    texts = texts.join(nodes, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
-    texts = stage_table(texts, "neardup-texts")
+    texts = stage_table(_texts_of(nodes, documents), "neardup-texts")
     members = pairs.join(per, ["a", "a_key"]).withColumn("salt", F.pmod(F.xxhash64("b", "b_key"), F.col("salts")).cast("int"))
     members = members.join(texts, (F.col("b") == F.col("id")) & (F.col("b_key") == F.col("key")))
     leaders = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, (F.col("a") == F.col("id")) & (F.col("a_key") == F.col("key")))
@@ -228,18 +242,66 @@ def _crossing(members: DataFrame, labels: DataFrame, own: DataFrame) -> DataFram
     return left.join(crossing, "band", "left_semi").join(signed, ["rep", "rep_key"])
 
 
-def _residual(members: DataFrame, p: NearDup, partitions: int) -> DataFrame:
-    """Candidate pairs of different components under one key, by signature.
+def _shared_shingles(nodes: DataFrame, documents: DataFrame, p: NearDup) -> DataFrame:
+    """rep, rep_key, comp, n, core, rare of each of ``nodes`` (rep, rep_key, comp).
 
-    Pairs within a component are known to belong together, so a key's largest
-    component only meets the key's other members: its rows stay where they are,
-    in blocks of about ``block``, and the others come to each block.  The others
-    meet each other in pairs of blocks.  Groups are bounded whatever a key's size.
+    n: size of the set; core: its shingles with at least ``p.rare`` holders among
+    the nodes; rare: (pos, s) of those with fewer.  Only shingles that nodes of
+    several components hold count; pos is a shingle's place when the set is
+    ordered by holders, the ones that do not count first, so a set shares at
+    most n - pos shingles with any set of which s is the first common one.
     """
-    per = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-    keys = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    texts = _texts_of(nodes.select(F.col("rep").alias("id"), F.col("rep_key").alias("key")), documents)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                b = batch.iloc[lo : lo + 500]
+                sets = [shingle_set(t, p.shingle).view(np.int64) for t in b["text"]]
+                yield pd.DataFrame({"rep": b["id"].to_numpy(), "rep_key": b["key"].to_numpy(), "n": [len(x) for x in sets], "s": sets})
+
+    sets = texts.mapInPandas(cut, "rep long, rep_key long, n long, s array<long>").join(nodes, ["rep", "rep_key"])
+    each = stage_table(sets.select("rep", "rep_key", "comp", "n", F.explode("s").alias("s")), "neardup-shingles")
+    held = each.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("s", "f")
+    tagged = each.join(held, "s")
+    rare = F.sort_array(F.collect_list(F.when(F.col("f") < p.rare, F.struct("f", "s"))))
+    per = tagged.groupBy("rep", "rep_key", "comp", "n").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("f") >= p.rare).alias("core"), rare.alias("r"))
+    placed = F.transform("r", lambda x, i: F.struct((F.col("n") - F.col("m") + i).alias("pos"), x["s"].alias("s")))
+    # A similar set shares at least percent of n: later places cannot be the first common one.
+    early = F.filter(placed, lambda x: 100 * (F.col("n") - x["pos"]) >= p.percent * F.col("n"))
+    return per.select("rep", "rep_key", "comp", "n", "core", early.alias("rare"))
+
+
+def _enough(shared: Column, n: Column, m: Column, p: NearDup) -> Column:
+    """Whether sets of sizes n and m are similar enough if they share ``shared``."""
+    return (100 + p.percent) * shared >= p.percent * (n + m)
+
+
+def _by_rare(shared: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs of different components that meet at a rare shingle and may be similar enough."""
+    each = shared.select("rep", "rep_key", "comp", "n", F.explode("rare").alias("x")).select("rep", "rep_key", "comp", "n", "x.pos", "x.s")
+    a, b = each.alias("a"), each.alias("b")
+    order = F.struct("a.rep", "a.rep_key") < F.struct("b.rep", "b.rep_key")
+    reach = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    on = (F.col("a.s") == F.col("b.s")) & (F.col("a.comp") != F.col("b.comp")) & order & _enough(reach, F.col("a.n"), F.col("b.n"), p)
+    return a.join(b, on).select(F.col("a.rep").alias("a"), F.col("a.rep_key").alias("a_key"), F.col("b.rep").alias("b"), F.col("b.rep_key").alias("b_key")).distinct()
+
+
+def _by_core(members: DataFrame, shared: DataFrame, p: NearDup, partitions: int) -> DataFrame:
+    """Candidate pairs of different components under one key that share no rare shingle.
+
+    Such a pair shares at most the smaller ``core``, which bounds each member and
+    each pair; the rest go by signature.  Pairs within a component are known to
+    belong together, so a key's largest component only meets the key's other
+    members: its rows stay where they are, in blocks of about ``block``, and the
+    others come to each block.  The others meet each other in pairs of blocks.
+    """
+    able = shared.filter(100 * F.col("core") >= p.percent * F.col("n")).select("rep", "rep_key", "n", "core")
+    members = members.drop("n_shingles").join(able, ["rep", "rep_key"])
+    per = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
+    keys = per.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     blocks = lambda n: F.ceil(n / p.block).cast("int")
-    keys = keys.select("band", F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("tops"), blocks(F.col("all") - F.col("top.n")).alias("rests"))
+    keys = keys.select("band", F.col("top.comp").alias("top"), blocks(F.col("top.k")).alias("tops"), blocks(F.col("all") - F.col("top.k")).alias("rests"))
     rows = members.join(keys, "band").withColumn("main", F.col("comp") == F.col("top"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "rep_key"), F.when(F.col("main"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
     cell = lambda first, lo, hi: F.struct(first.alias("first"), lo.alias("lo"), hi.alias("hi"))
@@ -247,25 +309,25 @@ def _residual(members: DataFrame, p: NearDup, partitions: int) -> DataFrame:
     at_top = F.transform(F.sequence(none, F.col("tops") - 1), lambda b: cell(F.lit(True), b, none))
     at_rest = F.transform(F.sequence(none, F.col("rests") - 1), lambda b: cell(F.lit(False), F.least("own", b), F.greatest("own", b)))
     cells = F.when(F.col("main"), F.array(cell(F.lit(True), F.col("own"), none))).otherwise(F.concat(at_top, at_rest))
-    rows = rows.withColumn("cell", F.explode(cells)).select("band", "cell.*", "main", "own", "rep", "rep_key", "comp", "n_shingles", "sig")
+    rows = rows.withColumn("cell", F.explode(cells)).select("band", "cell.*", "main", "own", "rep", "rep_key", "comp", "n", "core", "sig")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, held = [], 0
         for g in _streams(batches, ["band", "first", "lo", "hi"]):
-            sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), -1)
-            comp, size = g["comp"].to_numpy(), g["n_shingles"].to_numpy()
+            comp, size, core = (g[c].to_numpy() for c in ("comp", "n", "core"))
             first = bool(g["first"].iloc[0])
             # Sides that meet here: main and others, or two blocks.
             side = (g["main"] if first else g["own"]).to_numpy()
             cross = first or g["lo"].iloc[0] != g["hi"].iloc[0]
+            sig = None
             for i in range(len(g) - 1):
                 rest = np.arange(i + 1, len(g))
-                ok = comp[rest] != comp[i]
+                ok = (comp[rest] != comp[i]) & ((100 + p.percent) * np.minimum(core[rest], core[i]) >= p.percent * (size[rest] + size[i]))
                 if cross:
                     ok &= side[rest] != side[i]
-                lo, hi = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
-                rest = rest[ok & (100 * lo >= p.percent * hi)]
+                rest = rest[ok]
                 if len(rest):
+                    sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), -1) if sig is None else sig
                     rest = rest[(sig[rest] == sig[i]).mean(axis=1) >= p.estimate]
                 if len(rest):
                     a = g.iloc[[i] * len(rest)][["rep", "rep_key"]].to_numpy()
@@ -284,6 +346,14 @@ def _residual(members: DataFrame, p: NearDup, partitions: int) -> DataFrame:
     return dealt.mapInPandas(compare, "a long, a_key long, b long, b_key long").distinct()
 
 
+def _residual(members: DataFrame, documents: DataFrame, p: NearDup, partitions: int) -> DataFrame:
+    """Pairs of different components under one key that may be similar enough."""
+    members = stage_table(members, "neardup-crossing")
+    nodes = stage_table(members.select("rep", "rep_key", "comp").distinct(), "neardup-left")
+    shared = stage_table(_shared_shingles(nodes, documents, p), "neardup-shared")
+    return _by_rare(shared, p).unionByName(_by_core(members, shared, p, partitions)).distinct()
+
+
 def near_duplicates(documents: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept of each row.
 
@@ -315,7 +385,7 @@ def near_duplicates(documents: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     labels = components(links)
     tested = star.unionByName(centres)
     tested = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("b_key").alias("a_key"), F.col("a").alias("b"), F.col("a_key").alias("b_key")))
-    rest = _residual(_crossing(members, labels, own), p, partitions).join(tested, ["a", "a_key", "b", "b_key"], "left_anti")
+    rest = _residual(_crossing(members, labels, own), documents, p, partitions).join(tested, ["a", "a_key", "b", "b_key"], "left_anti")
     more = verify(stage_table(rest, "neardup-rest"), documents, p)
     labels = components(links.unionByName(more))
     found = rows.join(reps.select("set_hash", "rep"), "set_hash", "left").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")

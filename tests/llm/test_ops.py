@@ -203,6 +203,42 @@ def test_near_duplicates_match_brute_force(spark, docs, empty, k, block):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want.values()) | {None}
 
 
+def test_large_group_just_under_the_similarity(spark, monkeypatch):
+    """Copies of one text with 0 to 9 edits each: half of them reach nobody, and few pairs are made for these."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for d in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), d % 10):
+            words[at] = rng.choice(WORDS)
+        rows.append((d * 3 + 1, " ".join(words)))
+    sets = [shingles.shingle_set(t, 4) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    near = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            near += 100 * both >= 60 * (len(sets[i]) + len(sets[j]) - both)
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    made, residual = [], near_dup._residual
+    monkeypatch.setattr(near_dup, "_residual", lambda *a: made.append(residual(*a)) or made[0])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dup.near_duplicates(table, near_dup.NearDup(shingle=4, block=32, rare=8)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
+    alone = sum(find(i) == i and sum(find(j) == i for j in range(len(rows))) == 1 for i in range(len(rows)))
+    assert alone > 100 and near > 20_000
+    assert made[0].count() < 10 * len(rows)
+
+
 def test_super_minhash_is_unbiased_and_even():
     rng = np.random.default_rng(1)
     for jaccard in (0.2, 0.5, 0.8):
