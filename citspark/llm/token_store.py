@@ -11,7 +11,8 @@ File format, little-endian::
     | doc ids: deltas of one width | lower bits, packed | upper bits, unary
     | select samples u32 | ids
 
-Every section starts at a multiple of eight bytes.
+Documents without an id come first; the header counts them.  Every section starts at
+a multiple of eight bytes.
 """
 
 from __future__ import annotations
@@ -90,25 +91,40 @@ class EliasFano:
         return (upper << np.uint64(self.low_bits)) | low
 
 
-def _pad(data: bytes) -> bytes:
-    return data + b"\0" * (-len(data) % 8)
+def _pad(size: int) -> bytes:
+    return b"\0" * (-size % 8)
 
 
-def pack_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: bytes, width: int) -> bytes:
-    """The bytes of a file; ``ids`` has ``width`` bytes an id."""
-    ends = EliasFano.build(np.cumsum(lengths, dtype=np.uint64))
-    deltas = np.diff(doc_ids.astype(np.int64), prepend=np.int64(0))
-    sections = {"doc_ids": deltas.astype("<i8").tobytes(), "low": ends.low.tobytes(), "high": ends.high.tobytes(), "samples": ends.samples.astype("<u4").tobytes(), "ids": ids}
+def file_parts(doc_ids: list[int | None], lengths: list[int], ids: list[bytes], width: int) -> Iterator[bytes]:
+    """The bytes of a file, part by part; each of ``ids`` has ``width`` bytes an id.
+
+    Documents without an id come first and are counted in the header.
+    """
+    nulls = sum(d is None for d in doc_ids)
+    ends = EliasFano.build(np.cumsum(np.array(lengths, dtype=np.uint64)))
+    own = np.array(doc_ids[nulls:], dtype=np.int64)
+    deltas = np.diff(own)
     # Ids that follow each other closely need few bytes.
-    small = next((t for t in ("<i1", "<i2", "<i4") if len(deltas) and abs(deltas[1:]).max(initial=0) <= np.iinfo(t).max), "<i8")
-    first = int(deltas[0]) if len(deltas) else 0
-    sections["doc_ids"] = deltas[1:].astype(small).tobytes()
-    head = json.dumps({"n": len(doc_ids), "low_bits": ends.low_bits, "width": width, "first": first, "delta": small, "sizes": {k: len(v) for k, v in sections.items()}}).encode()
-    return b"".join([_pad(MAGIC + len(head).to_bytes(4, "little") + head), *(_pad(v) for v in sections.values())])
+    small = next((t for t in ("<i1", "<i2", "<i4") if abs(deltas).max(initial=0) <= np.iinfo(t).max), "<i8")
+    sections = {"doc_ids": deltas.astype(small).tobytes(), "low": ends.low.tobytes(), "high": ends.high.tobytes(), "samples": ends.samples.astype("<u4").tobytes()}
+    sizes = {k: len(v) for k, v in sections.items()} | {"ids": sum(map(len, ids))}
+    head = json.dumps({"n": len(doc_ids), "nulls": nulls, "low_bits": ends.low_bits, "width": width, "first": int(own[0]) if len(own) else 0, "delta": small, "sizes": sizes}).encode()
+    for part in (MAGIC + len(head).to_bytes(4, "little") + head, *sections.values()):
+        yield part + _pad(len(part))
+    yield from ids
+    yield _pad(sizes["ids"])
+
+
+def pack_file(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
+    """The bytes of a file at once."""
+    return b"".join(file_parts(list(doc_ids), list(lengths), [ids], width))
 
 
 class TokenFile:
-    """Reads one file: documents by place, offsets through select."""
+    """Reads one file: documents by place, offsets through select.
+
+    ``doc_ids`` holds the ids behind the first ``nulls`` documents, which have none.
+    """
 
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
@@ -120,12 +136,15 @@ class TokenFile:
             part[name] = memoryview(data)[at : at + length]
             at += length + -length % 8
         u8 = lambda name: np.frombuffer(part[name], dtype=np.uint8)
-        self.n, self.width = head["n"], head["width"]
+        self.n, self.nulls, self.width = head["n"], head["nulls"], head["width"]
         self.ends = EliasFano(self.n, head["low_bits"], u8("low"), u8("high"), np.frombuffer(part["samples"], dtype="<u4"))
         deltas = np.frombuffer(part["doc_ids"], dtype=head["delta"]).astype(np.int64)
-        self.doc_ids = np.cumsum(np.concatenate([[head["first"]], deltas])) if self.n else np.zeros(0, dtype=np.int64)
+        self.doc_ids = np.cumsum(np.concatenate([[head["first"]], deltas])) if self.n > self.nulls else np.zeros(0, dtype=np.int64)
         self.ids = np.frombuffer(part["ids"], dtype=f"<u{self.width}")
 
+    def doc_id(self, i: int) -> int | None:
+        return int(self.doc_ids[i - self.nulls]) if i >= self.nulls else None
+
     def bounds(self, i: int) -> tuple[int, int]:
         """First and end place of document ``i`` in the id array."""
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
@@ -137,6 +156,10 @@ class TokenFile:
 
 #: Characters below the first of which all letters and digits are long settled.
 _PLAIN = re.compile("[!-~\xa1-\u052f]*")
+#: Letters that normalising only lower-cases: Latin but for one, and Cyrillic.
+_SIMPLE = re.compile("[!-~\xa1-\u012f\u0131-\u02ff\u0400-\u0482\u048a-\u052f]*")
+#: Combining marks below there; a lower-cased letter may end in one.
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489]")
 _ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -149,15 +172,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Computes what it lacks; what ``keep`` allows is kept."""
+    """Computes what it lacks; short keys are kept."""
 
-    def __init__(self, compute, keep):
+    def __init__(self, compute):
         super().__init__()
-        self.compute, self.keep = compute, keep
+        self.compute = compute
 
     def __missing__(self, key):
         value = self.compute(key)
-        if self.keep(key):
+        if len(key) <= 64:
             self[key] = value
         return value
 
@@ -168,10 +191,10 @@ class CachedEncoder:
     The ids of each chunk between ASCII white space are kept as bytes, in two
     generations of at most ``limit`` chunks, so that memory is bounded and
     common chunks are encoded once.  A new chunk of Latin, Greek or Cyrillic
-    letters is cut into the tokenizer's pieces, and only pieces not met before
-    go through the library's merges; any other chunk goes through the whole
-    tokenizer.  The result equals encoding the whole text, as no rule of the
-    tokenizer reaches over white space; the tests compare both.
+    letters is cut into the tokenizer's pieces, which are chunks of their own:
+    only those not met before go through the library's merges; any other chunk
+    goes through the whole tokenizer.  The result equals encoding the whole text,
+    as no rule of the tokenizer reaches over white space; the tests compare both.
     """
 
     def __init__(self, path: str, width: int, limit: int = 300_000):
@@ -181,12 +204,11 @@ class CachedEncoder:
         self.model, self.normalizer, self.letters = self.tokenizer.model, self.tokenizer.normalizer, _byte_letters()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = os.path.commonprefix(self.added)
-        short = lambda key: len(key) <= 64
-        self.chunks, self.pieces = _Memo(self._chunk, short), _Memo(self._piece, short)
+        self.chunks = _Memo(self._chunk)
         self.old: dict[bytes, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        return np.array(ids, dtype=f"<u{self.width}").tobytes() if len(ids) > 8 else b"".join([i.to_bytes(self.width, "little") for i in ids])
 
     def _piece(self, piece: str) -> bytes:
         spelt = piece.encode().decode("latin-1").translate(self.letters)
@@ -199,19 +221,21 @@ class CachedEncoder:
         plain = chunk.isascii()
         if not (chunk.isprintable() if plain else _PLAIN.fullmatch(chunk)) or (self.mark in chunk and any(t in chunk for t in self.added)):
             return self._pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        low = chunk.lower() if plain else self.normalizer.normalize_str(chunk)
-        if plain and low.isalpha():
-            return self.pieces[low]
-        return b"".join(map(self.pieces.__getitem__, (_ASCII_PIECES if plain else _PIECES).findall(low)))
+        low = chunk.lower() if plain or _SIMPLE.fullmatch(chunk) else self.normalizer.normalize_str(chunk)
+        pieces = [low] if plain and low.isalpha() else (_ASCII_PIECES if plain else _PIECES).findall(low)
+        if low == chunk and len(pieces) == 1:
+            return self._piece(low)
+        if not plain and _MARKS.search(low):
+            # As chunks these pieces would be normalised once more.
+            return b"".join(map(self._piece, pieces))
+        return b"".join([self.chunks[x.encode()] for x in pieces])
 
     def encode(self, text: str) -> bytes:
         # Bytes split at ASCII white space alone; other white space stays inside.
         out = b"".join(map(self.chunks.__getitem__, text.encode("utf-8", "surrogatepass").split()))
         if len(self.chunks) > self.limit:
-            self.old = dict(self.chunks)
-            self.chunks.clear()
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
+            self.old = self.chunks
+            self.chunks = _Memo(self._chunk)
         return out
 
 
@@ -239,8 +263,8 @@ def write_token_files(documents: DataFrame, out: str, tokenizer: str, end_id: in
     ``mb_per_file``.  A file's name is its own to the attempt that wrote it and
     only files of attempts that succeeded come into the manifest, so lost
     executors leave strays but no wrong rows.  Null texts are empty documents of
-    one id; null ids are refused, as they have no place in the order; repeated
-    ids follow each other, ordered by a hash of their text.
+    one id; rows with a null id come before all others; repeated ids follow each
+    other, ordered by a hash of their text.
     """
     check_columns(documents, "doc_id", "text")
     limit = mb_per_file << 20
@@ -256,9 +280,9 @@ def write_token_files(documents: DataFrame, out: str, tokenizer: str, end_id: in
         def flush() -> pd.DataFrame:
             nonlocal ids, lengths, blobs, held, k
             path = f"{root}/part-{part:06d}-{k:04d}-{uuid.uuid4().hex}.ctok"
-            data = pack_file(np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.uint64), b"".join(blobs), width)
             with fs.open_output_stream(path) as f:
-                f.write(data)
+                for piece in file_parts(ids, lengths, blobs, width):
+                    f.write(piece)
             row = pd.DataFrame({"path": [path], "part": [part * 100_000 + k], "n_docs": [len(ids)], "n_ids": [sum(lengths)]})
             ids, lengths, blobs, held, k = [], [], [], 0, k + 1
             return row
@@ -266,7 +290,7 @@ def write_token_files(documents: DataFrame, out: str, tokenizer: str, end_id: in
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 blob = coder.encode(text or "") + end
-                ids.append(int(doc_id))
+                ids.append(None if pd.isna(doc_id) else int(doc_id))
                 lengths.append(len(blob) // width)
                 blobs.append(blob)
                 held += len(blob)
@@ -278,7 +302,6 @@ def write_token_files(documents: DataFrame, out: str, tokenizer: str, end_id: in
     fs, root = _open_fs(out)
     fs.create_dir(root, recursive=True)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.withColumn("doc_id", F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a null doc_id has no place in the order"))).otherwise(F.col("doc_id")))
     ranged = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return stage_table(ranged.mapInPandas(encode, "path string, part long, n_docs long, n_ids long"), "token-manifest")
 
@@ -298,17 +321,18 @@ def read_token_files(manifest: DataFrame, out: str, with_ids: bool = False) -> D
                 with fs.open_input_stream(path) as f:
                     file = TokenFile(f.read())
                 for lo in range(0, file.n, 2000):
-                    rows: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": [], "ids": []}
+                    rows: dict = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": [], "ids": []}
                     for i in range(lo, min(file.n, lo + 2000)):
                         a, b = file.bounds(i)
                         own = file.ids[a:b]
-                        rows["doc_id"].append(int(file.doc_ids[i]))
+                        rows["doc_id"].append(file.doc_id(i))
                         rows["start"].append(base + a)
                         rows["n_tokens"].append(b - a)
                         rows["ids_crc32"].append(zlib.crc32(own.astype("<u4").tobytes()))
                         rows["ids"].append(own.astype(np.int64) if with_ids else None)
                     if not with_ids:
                         del rows["ids"]
+                    rows["doc_id"] = pd.array(rows["doc_id"], dtype="Int64")
                     yield pd.DataFrame(rows)
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
