@@ -74,6 +74,14 @@ def test_quality_matches_brute_force(spark, docs, empty):
     assert quality.quality_rules(docs, labels.limit(0), rules).filter("kept = base_failed").count() == 0
 
 
+def test_long_texts_of_distinct_words_repeat_nothing(spark):
+    """At 400,000 windows some twenty pairs share 32 bits of hash; only equal words count."""
+    plain = [f"w{i}" for i in range(400_000)]
+    rows = [(1, " ".join(plain)), (2, " ".join(plain + plain[1000:1007]))]
+    found = quality.with_base(quality.hashed(spark.createDataFrame(rows, "doc_id long, text string")), 5)
+    assert {r.doc_id: r.n_repeat_words for r in found.select("doc_id", "n_repeat_words").collect()} == {1: 0, 2: 14}
+
+
 def test_quality_ratio_is_the_formula(spark):
     import xxhash
 
