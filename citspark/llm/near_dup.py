@@ -84,7 +84,7 @@ def signatures(documents: DataFrame, p: NearDup) -> DataFrame:
                 keys.append(int(k))
                 texts.append(t)
                 size += len(t or "")
-                if size > 4_000_000 or len(ids) >= 1000:
+                if size > 1_000_000 or len(ids) >= 1000:
                     yield of(ids, keys, texts)
                     ids, keys, texts, size = [], [], [], 0
             if ids:

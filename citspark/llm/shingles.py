@@ -27,7 +27,7 @@ def _step(k: int) -> np.uint64:
 class WordHashes(dict):
     """64-bit hashes of words; keeps the first ``limit`` words it meets."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
