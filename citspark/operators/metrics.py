@@ -6,6 +6,7 @@ before any window, so windows see distinct scores rather than rows.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from citspark.functions.columns import argmax, sigmoid, softmax
 
+from .objectives import group_pairs
+
 _EPS = 1e-12
 
 
@@ -163,7 +166,13 @@ METRICS: dict[str, tuple[Callable[..., DataFrame], bool]] = {
     "precision": (precision, True), "recall": (recall, True), "f1": (f1, True), "auc": (auc, True), "pairlogit": (pairlogit, False),
     "ndcg": (ndcg, True), "map": (mean_average_precision, True), "mrr": (mrr, True), "cox": (cox, False), "survivalexponential": (survival_exponential, False), "cindex": (concordance, True),
 }
-ALIASES = {"l1": "mae", "roc_auc": "auc", "map@all": "map", "mrr@all": "mrr", "concordance_index": "cindex", "softmax": "multiclass", "balancedaccuracy": "balanced_accuracy", "balanced-accuracy": "balanced_accuracy", "survival_exp": "survivalexponential"}
+#: Other names of the metrics; an objective's name stands for its own metric.
+ALIASES = {
+    "squarederror": "rmse", "squared_error": "rmse", "l1": "mae", "absoluteerror": "mae", "absolute_error": "mae", "huberloss": "huber", "quantileloss": "quantile",
+    "poissonregression": "poisson", "tweedieloss": "tweedie", "reg:tweedie": "tweedie", "binary_logloss": "logloss", "binary:logistic": "logloss", "softmax": "multiclass",
+    "balancedaccuracy": "balanced_accuracy", "balanced-accuracy": "balanced_accuracy", "roc_auc": "auc", "map@all": "map", "mrr@all": "mrr", "pairwise": "pairlogit", "ranknet": "pairlogit",
+    "coxph": "cox", "survival:cox": "cox", "survival_exp": "survivalexponential", "survival:exponential": "survivalexponential", "concordance_index": "cindex",
+}
 
 
 def evaluate(df: DataFrame, name: str, **columns: str) -> DataFrame:
@@ -174,5 +183,19 @@ def evaluate(df: DataFrame, name: str, **columns: str) -> DataFrame:
     return METRICS[key][0](df, **columns)
 
 
+def evaluate_rows(df: DataFrame, name: str, w: str | None = None, grouped: bool = False) -> DataFrame:
+    """Any metric over rows with row_id, y, p (and group_id, and a weight column).
+
+    The weight counts where the metric takes one; rank metrics need groups.
+    """
+    key = ALIASES.get(name.lower(), name.lower())
+    if key == "pairlogit":
+        return pairlogit(group_pairs(df))
+    takes = inspect.signature(METRICS[key][0]).parameters if key in METRICS else {}
+    if "group" in takes and not grouped:
+        raise ValueError(f"{name} needs a group column")
+    return evaluate(df, name, **({"w": w} if w and "w" in takes else {}))
+
+
 def higher_is_better(name: str) -> bool:
     return METRICS[ALIASES.get(name.lower(), name.lower())][1]

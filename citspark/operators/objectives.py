@@ -67,6 +67,10 @@ POINTWISE: dict[str, Callable[..., Pair]] = {
 }
 
 
+COX = ("cox", "coxph", "survival:cox")
+PAIRWISE = ("pairlogit", "pairwise", "ranknet")
+
+
 def with_gradients(df: DataFrame, objective: str, p: str = "p", y: str = "y", **params: float) -> DataFrame:
     """``df`` with columns g and h of a pointwise objective."""
     if objective.lower() not in POINTWISE:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citspark.functions.columns import bin_of
+
 
 def chi2_sf(x: float, df: int) -> float:
     """P(X > x) of a chi-square variable: the regularised upper gamma function."""
@@ -55,3 +57,21 @@ def histogram(rows: DataFrame, keys: list[str], bins: str = "bins", w: str = "w"
     """sum_w, sum_g, sum_h, sum_gg by (keys, feature, bin): one exchange of partial sums."""
     each = rows.select(*keys, F.col(w).alias("__w"), (F.col("g") * F.col(w)).alias("__g"), (F.col("h") * F.col(w)).alias("__h"), (F.col("g") * F.col("g") * F.col(w)).alias("__gg"), F.posexplode(bins).alias("feature", "bin"))
     return each.groupBy(*keys, "feature", "bin").agg(F.sum("__w").alias("sum_w"), F.sum("__g").alias("sum_g"), F.sum("__h").alias("sum_h"), F.sum("__gg").alias("sum_gg"), F.count(F.lit(1)).alias("n"))
+
+
+def running_best(df: DataFrame, order: str, value: str, higher: bool = False, out: str = "best", ranges: int = 64) -> DataFrame:
+    """``df`` with the best ``value`` up to each row in ``order``; null values count for nothing.
+
+    Rows are dealt to ranges of ``order``, each with the best of the ranges before
+    it (one row a range), so no task holds all rows.
+    """
+    best = F.max if higher else F.min
+    goals = [k / ranges for k in range(1, ranges)]
+    bounds = df.agg(F.percentile_approx(F.col(order).cast("double"), goals, 20 * ranges)).first()[0] or []
+    dealt = df.withColumn("__range", F.coalesce(bin_of(F.col(order).cast("double"), sorted(set(bounds))), F.lit(-1)))
+    tops = dealt.groupBy("__range").agg(best(value).alias("__top"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("__range", best("__top").over(before).alias("__before"))
+    local = best(value).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    either = (F.greatest if higher else F.least)("__local", "__before")
+    return dealt.withColumn("__local", local).join(F.broadcast(tops), "__range").withColumn(out, either).drop("__range", "__local", "__before")

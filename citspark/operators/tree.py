@@ -46,7 +46,7 @@ class Node:
     weight: float = 0.0
     lo: float = float("-inf")
     hi: float = float("inf")
-    path: frozenset[int] = frozenset()
+    groups: frozenset[int] | None = None
     feature: int = -1
     bin: int = -1
     left_bins: tuple[int, ...] = ()
@@ -81,13 +81,6 @@ class Tree:
                 out[node.feature] += node.gain
         return out
 
-    def path_to(self, leaf: int) -> list[int]:
-        parent = {c: i for i, n in enumerate(self.nodes) for c in (n.left, n.right) if c >= 0}
-        out = [leaf]
-        while out[-1] in parent:
-            out.append(parent[out[-1]])
-        return out[::-1]
-
     def sql(self, columns: list[str], cuts: list[tuple[float, ...]], at: int = 0) -> str:
         """The tree as a CASE expression over raw numeric columns."""
         node = self.nodes[at]
@@ -142,9 +135,16 @@ def best_split(bins: dict[int, tuple[float, ...]], p: TreeParams, categorical: b
 def _allowed(f: int, node: Node, p: TreeParams) -> bool:
     if p.feature_weights and p.feature_weights[f] <= 0:
         return False
-    own = [set(g) for g in p.interactions if f in g]
-    used = [set(g) for g in p.interactions if node.path & set(g)]
-    return not p.interactions or not own or not used or any(node.path <= g | set() and f in g for g in own) or any(f in g for g in used)
+    groups = {k for k, g in enumerate(p.interactions) if f in g}
+    return not groups or node.groups is None or bool(groups & node.groups)
+
+
+def _groups_below(f: int, node: Node, p: TreeParams) -> frozenset[int] | None:
+    """Interaction groups that hold all constrained features of the path; None: no bound."""
+    own = frozenset(k for k, g in enumerate(p.interactions) if f in g)
+    if not own:
+        return node.groups
+    return (own if node.groups is None else own & node.groups) or None
 
 
 def grow(rows: DataFrame, p: TreeParams, features: list[int], categorical: frozenset[int] = frozenset(), bins: str = "bins") -> Tree:
@@ -190,7 +190,8 @@ def grow(rows: DataFrame, p: TreeParams, features: list[int], categorical: froze
                 continue
             _, f, (value, b, left_bins) = chosen
             node.feature, node.bin, node.left_bins, node.gain = f, b, left_bins, value
-            left, right = Node(node.depth + 1, lo=node.lo, hi=node.hi, path=node.path | {f}), Node(node.depth + 1, lo=node.lo, hi=node.hi, path=node.path | {f})
+            below = _groups_below(f, node, p)
+            left, right = (Node(node.depth + 1, lo=node.lo, hi=node.hi, groups=below) for _ in range(2))
             if mono(f):
                 lg = sum(x[1] for k, x in own[f].items() if k <= b)
                 lh = sum(x[2] for k, x in own[f].items() if k <= b)
@@ -216,7 +217,7 @@ def _budget(tree: Tree, p: TreeParams) -> Tree:
         nonlocal leaves
         node = tree.nodes[i]
         at = len(out.nodes)
-        copy = Node(node.depth, node.weight, node.lo, node.hi, node.path)
+        copy = Node(node.depth, node.weight, node.lo, node.hi, node.groups)
         out.nodes.append(copy)
         if node.is_leaf or (p.max_leaves and leaves >= p.max_leaves):
             return at

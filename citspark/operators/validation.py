@@ -18,7 +18,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, p: BoostParam
     histories; an iteration's figures are those of the folds that reached it.
     """
     dealt = folds(df, k, group or row_id, stratify if group is None else None, p.seed)
-    runs = [fit(dealt.filter(F.col("fold") != i), features, label, p, row_id=row_id, valid=dealt.filter(F.col("fold") == i)).history for i in range(k)]
+    runs = [fit(dealt.filter(F.col("fold") != i), features, label, p, row_id=row_id, valid=dealt.filter(F.col("fold") == i), group=group).history for i in range(k)]
     out: dict[str, list[float]] = {}
     for name in ("train", "valid"):
         columns = [[h[name][t] for h in runs if t < len(h[name])] for t in range(max(len(h[name]) for h in runs))]

@@ -422,8 +422,8 @@ _add(
 )
 _add(
     "best_so_far",
-    lambda s, d: _read(s, d, "events").filter("event_id < 500").select("event_id", F.min("value").over(Window.orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("best")),
-    "SELECT event_id, min(value) OVER (ORDER BY event_id) AS best FROM events WHERE event_id < 500",
+    lambda s, d: S.running_best(_read(s, d, "events").select("event_id", "value"), "event_id", "value").select("event_id", "best"),
+    "SELECT event_id, min(value) OVER (ORDER BY event_id) AS best FROM events",
 )
 _add("predict_proba", lambda s, d: _round(_binary(s, d).select("row_id", C.sigmoid(F.col("p")).alias("proba"), (F.col("p") >= 0).cast("int").alias("label"))), f"SELECT row_id, round({SIGMOID}, 6) AS proba, CAST(p >= 0 AS INT) AS label FROM {BINARY}")
 _add(

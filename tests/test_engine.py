@@ -1,5 +1,6 @@
 """Objectives, metrics, quantization, trees and boosting against closed forms."""
 
+import functools
 import math
 import random
 
@@ -13,8 +14,9 @@ from citspark.operators import metrics as M
 from citspark.operators import objectives as O
 from citspark.operators import quantize as Q
 from citspark.operators.boosting import BoosterModel, BoostParams, fit
+from citspark.operators import stats as S
 from citspark.operators.stats import chi2_sf
-from citspark.operators.tree import TreeParams, best_split, feature_test
+from citspark.operators.tree import Node, TreeParams, _allowed, _groups_below, best_split, feature_test
 
 
 def frame(spark, rows, schema):
@@ -161,3 +163,77 @@ def test_entry_without_the_training_data_folders():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_cox_training_orders_the_risks(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(220):
+        x = [rng.gauss(0, 1) for _ in range(4)]
+        time = rng.expovariate(math.exp(x[0] - 0.5 * x[1]))
+        rows.append((i, *x, time if rng.random() < 0.7 else -time))
+    df = frame(spark, rows, "row_id long, a double, b double, c double, d double, y double")
+    p = BoostParams(objective="survival:cox", iterations=6, learning_rate=0.15, tree=TreeParams(max_depth=2, alpha=1.0))
+    model = fit(df, ["a", "b", "c", "d"], "y", p)
+    scored = model.transform(df, "p")
+    assert M.evaluate(scored, "concordance_index").first().value > 0.6
+    assert model.history["train"][-1] < model.history["train"][0]
+
+
+def test_pairwise_training_orders_groups(spark):
+    rng = random.Random(5)
+    rows = [(g * 5 + k, g, rng.gauss(0, 0.3) + k, rng.gauss(0, 1), float(k)) for g in range(24) for k in range(5)]
+    df = frame(spark, rows, "row_id long, q long, a double, b double, y double")
+    p = BoostParams(objective="ranknet", iterations=5, learning_rate=0.2, tree=TreeParams(max_depth=2, alpha=1.0))
+    model = fit(df.filter("q < 18"), ["a", "b"], "y", p, group="q")
+    scored = {r.row_id: r for r in model.transform(df.filter("q >= 18")).collect()}
+    pairs = [(x, z) for x in scored.values() for z in scored.values() if x.q == z.q and x.y > z.y]
+    assert sum(x.prediction > z.prediction for x, z in pairs) / len(pairs) > 0.9
+    with pytest.raises(ValueError, match="group"):
+        fit(df, ["a", "b"], "y", p)
+
+
+def test_dart_drops_trees_and_keeps_its_margins(spark):
+    rng = random.Random(6)
+    rows = [(i, x := rng.random(), 3 * x + rng.gauss(0, 0.1)) for i in range(300)]
+    df = frame(spark, rows, "row_id long, a double, y double")
+    common = {"iterations": 4, "learning_rate": 0.5, "max_bins": 16, "tree": TreeParams(max_depth=2)}
+    plain = fit(df, ["a"], "y", BoostParams(**common))
+    dart = fit(df, ["a"], "y", BoostParams(**common, boosting_type="dart", drop_rate=0.5, skip_drop=0.0))
+    assert dart.rates != plain.rates and len(set(dart.rates)) > 1
+    assert M.evaluate(dart.transform(df, "p"), "rmse").first().value == pytest.approx(dart.history["train"][-1])
+    assert fit(df, ["a"], "y", BoostParams(**common, boosting_type="dart", drop_rate=0.0)).rates == plain.rates
+    with pytest.raises(ValueError, match="boosting type"):
+        fit(df, ["a"], "y", BoostParams(boosting_type="unheard-of"))
+
+
+def test_aliases_of_objectives_train_and_probabilities_need_a_logistic_one(spark):
+    df = frame(spark, [(i, float(i % 7), float(i % 7 > 3)) for i in range(60)], "row_id long, a double, y double")
+    one = BoostParams(objective="binary:logistic", iterations=1, tree=TreeParams(max_depth=1))
+    assert all(0 < r.probability < 1 for r in fit(df, ["a"], "y", one).predict_proba(df).collect())
+    more = fit(df, ["a"], "y", BoostParams(objective="squarederror", iterations=1, tree=TreeParams(max_depth=1)), init=fit(df, ["a"], "y", one), valid=df)
+    assert more.best_iteration == 1
+    with pytest.raises(ValueError, match="probabilities"):
+        more.predict_proba(df)
+
+
+def test_interaction_groups_meet_along_a_path():
+    p = TreeParams(interactions=((0, 1), (0, 2)))
+    root = Node(0)
+    after = lambda *fs: functools.reduce(lambda node, f: Node(node.depth + 1, groups=_groups_below(f, node, p)), fs, root)
+    assert all(_allowed(f, root, p) for f in range(4))
+    assert [_allowed(f, after(0), p) for f in range(4)] == [True, True, True, True]
+    assert [_allowed(f, after(0, 1), p) for f in range(4)] == [True, True, False, True]
+    assert [_allowed(f, after(1, 3), p) for f in range(4)] == [True, True, False, True]
+
+
+def test_running_best_over_ranges(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, rng.random()])) for i in range(500)]
+    for higher, best in ((False, min), (True, max)):
+        found = {r.t: r.best for r in S.running_best(frame(spark, rows, "t long, v double"), "t", "v", higher, ranges=7).collect()}
+        so_far = []
+        for t, v in rows:
+            so_far += [v] if v is not None else []
+            assert found[t] == (best(so_far) if so_far else None)
+    assert S.running_best(frame(spark, [], "t long, v double"), "t", "v").count() == 0
