@@ -96,7 +96,7 @@ def word_hash(word: bytes) -> int:
 class _Codes(dict):
     """Codes of words: place in the coded table, or the hash of any other word."""
 
-    def __init__(self, hashes: np.ndarray, limit: int = 400_000):
+    def __init__(self, hashes: np.ndarray, limit: int = 200_000):
         super().__init__()
         self.hashes, self.limit = hashes, limit
 
@@ -417,34 +417,24 @@ def _finish(solved: DataFrame, words: DataFrame, model: WordModel, p: Katz) -> D
     resolved = kind("document").select(*doc, (F.col("v") + log_d).alias("v"), "base", "known", "tokens", "ends")
     # Words that have no short code: their counts come from the table.
     table = words.select("w", F.col("c").alias("c_w"))
-    # Only the columns that each kind needs move.
-    rare = kind("rare").select(*doc, "w").join(table, "w", "left").drop("w")
-    miss = kind("miss").select(*doc, "h", "w", "n")
+    odd = solved.filter(F.col("kind").isin("rare", "miss")).select("kind", *doc, "h", "w", "n")
     # A coded word's count is at hand, so only its context's weight has to be found.
-    near = miss.filter("n >= 0").select(*doc, "h", F.when(F.col("n") > 0, F.col("n")).alias("c_w"), F.lit(True).alias("coded"))
-    away = miss.filter("n < 0").drop("n").join(table, "w", "left").select(*doc, "h", "c_w", F.lit(False).alias("coded"))
+    near = odd.filter("n >= 0").withColumn("c_w", F.when(F.col("n") > 0, F.col("n"))).withColumn("coded", F.lit(True))
+    away = odd.filter("n < 0").join(table, "w", "left").withColumn("coded", F.lit(False))
+    far = away.unionByName(near).drop("w", "n")
     # alpha(h) = left over mass of the seen pairs / left over mass of their words.
     linked = kind("link").join(table, "w").groupBy("h").agg(F.sum(p_word(F.col("c_w"))).alias("mass"))
     seen = kind("context").select("h", "c_h", "mass", "big", *rs).unionByName(linked.select("h", "mass"), allowMissingColumns=True)
     by_h = seen.groupBy("h").agg(F.max("c_h").alias("c"), F.sum("mass").alias("mass"), F.sum("big").alias("big"), *(F.sum(r).alias(r) for r in rs))
     free = sum((F.col(r) * F.lit(k * (1 - x)) for k, (r, x) in enumerate(zip(rs, d), 1)), F.col("big") * floor) / F.col("c")
     alpha = by_h.select("h", F.log10(free / (1 - F.col("mass"))).alias("log_alpha"))
-    misses = away.unionByName(near).join(alpha, "h", "left")
+    misses = far.filter(F.col("kind") == "miss").join(alpha, "h", "left")
+    missed = misses.withColumn("v", F.coalesce("log_alpha", F.lit(0.0)) + F.log10(p_word(F.col("c_w"))))
     lone = F.log10((F.coalesce("c_w", F.lit(0)) + 1) / F.lit(model.total + model.types + 1))
-    known = (F.coalesce("c_w", F.lit(0)) > 0).cast("long")
-    missed = misses.select(
-        *doc,
-        (F.coalesce("log_alpha", F.lit(0.0)) + F.log10(p_word(F.col("c_w")))).alias("v"),
-        F.when(F.col("coded"), F.lit(0.0)).otherwise(lone).alias("base"),
-        F.when(F.col("coded"), F.lit(0).cast("long")).otherwise(known).alias("known"),
-    )
-    parts = [
-        resolved.groupBy(*doc).agg(*(F.sum(c).alias(c) for c in ("v", "base", "known", "tokens", "ends"))),
-        missed.groupBy(*doc).agg(*(F.sum(c).alias(c) for c in ("v", "base", "known"))),
-        rare.select(*doc, lone.alias("base"), known.alias("known")).groupBy(*doc).agg(F.sum("base").alias("base"), F.sum("known").alias("known")),
-    ]
-    every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-    sums = every.groupBy(*doc).agg(*(F.sum(c).alias(c) for c in ("v", "base", "known", "tokens", "ends")))
+    zero = F.lit(0).cast("long")
+    base = lambda rows, v: rows.select(*doc, v.alias("v"), F.when(F.col("coded"), F.lit(0.0)).otherwise(lone).alias("base"), F.when(~F.col("coded") & (F.col("c_w") > 0), F.lit(1).cast("long")).otherwise(zero).alias("known"), zero.alias("tokens"), zero.alias("ends"))
+    rest = base(missed, F.col("v")).unionByName(base(far.filter(F.col("kind") == "rare"), F.lit(0.0)))
+    sums = resolved.unionByName(rest).groupBy(*doc).agg(*(F.sum(c).alias(c) for c in ("v", "base", "known", "tokens", "ends")))
     each = lambda c: F.col(c) / F.col("ends")
     out = sums.select(
         F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"),
