@@ -134,7 +134,8 @@ def mix_sources(rows: DataFrame, weights: Mapping[str | None, float] | None = No
     Within a source rows are shuffled by a hash of the ``order`` columns, so equal
     rows are neighbours.  ``weights`` maps sources to target weights, of any
     scale; sources without one get weight 0 and come last.  A null source is a
-    source of its own.  No row is dropped or repeated, an empty table stays
+    source of its own.  Columns that are already named like the new ones are
+    replaced.  No row is dropped or repeated, an empty table stays
     empty, and more than ``max_sources`` sources are an error.  share is the
     target weight of the row's source among the sources of its phase.
     """
@@ -152,12 +153,12 @@ def mix_sources(rows: DataFrame, weights: Mapping[str | None, float] | None = No
     spans = _table(
         spark,
         [(i, e, p.first[k], p.last[k], min(p.shares[k], _LONG), min(sum(p.shares), _LONG), p.start, p.shares[k] / sum(p.shares)) for e, p in enumerate(plan) for k, i in enumerate(p.sources)],
-        "__source int, phase int, __first long, __last long, __q long, __size long, __start long, __share double",
+        "__source int, __phase int, __first long, __last long, __q long, __size long, __start long, __share double",
     )
     slots = _table(
         spark,
         [(i, e, j // mix.shares, p.slots[k][j : j + mix.shares].tolist()) for e, p in enumerate(plan) for k, i in enumerate(p.sources) for j in range(0, min(len(p.slots[k]), p.last[k] - p.first[k]), mix.shares)],
-        "__source int, phase int, __part long, __slots array<bigint>",
+        "__source int, __phase int, __part long, __slots array<bigint>",
     )
     cells = min(1 << 14, max(16, math.ceil(max(sizes, default=0) / 50_000)))
     placed = rows.join(F.broadcast(ids), rows[source].cast("string").eqNullSafe(F.col("__name"))).drop("__name")
@@ -166,21 +167,25 @@ def mix_sources(rows: DataFrame, weights: Mapping[str | None, float] | None = No
     placed = placed.withColumn("__block", block).join(F.broadcast(spans), "__source").filter((F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__last")))
     local = F.col("__block") - F.col("__first")
     turn = F.floor(local / F.col("__q"))
-    placed = placed.withColumn("__j", (local % F.col("__q")).cast("long")).withColumn("__part", F.floor(F.col("__j") / mix.shares)).join(F.broadcast(slots), ["__source", "phase", "__part"])
+    placed = placed.withColumn("__j", (local % F.col("__q")).cast("long")).withColumn("__part", F.floor(F.col("__j") / mix.shares)).join(F.broadcast(slots), ["__source", "__phase", "__part"])
     at = F.get("__slots", (F.col("__j") % mix.shares).cast("int"))
     slot = F.col("__start") + turn * F.col("__size") + at
-    placed = placed.withColumn("slot", slot.cast("long")).withColumn("mix_order", (F.col("slot") * mix.block_rows + F.col("__place") % mix.block_rows).cast("long"))
-    share = F.col("__share").alias("share")
-    return placed.select(*(F.col(c) for c in rows.columns if c not in ("phase", "slot", "mix_order", "share")), "phase", "slot", "mix_order", share)
+    placed = placed.withColumn("__slot", slot.cast("long")).withColumn("__order", (F.col("__slot") * mix.block_rows + F.col("__place") % mix.block_rows).cast("long"))
+    made = {"phase": "__phase", "slot": "__slot", "mix_order": "__order", "share": "__share"}
+    return placed.select(*(F.col(c) for c in rows.columns if c not in made), *(F.col(c).alias(n) for n, c in made.items()))
 
 
 def mixed_order(rows: DataFrame, weights: Mapping[str | None, float] | None = None, mix: Mix = Mix(), source: str = "source", order: tuple[str, ...] = ("doc_id", "text"), place: str | None = None) -> DataFrame:
     """``rows`` sorted by mix_order, so that files written from it hold the mixture in order.
 
-    Within a source rows are shuffled by a hash of the ``order`` columns.  With
-    ``place`` the order stays as a column of that name, for consumers that
+    Within a source rows are shuffled by a hash of the ``order`` columns.  All
+    columns stay, whatever their names.  With ``place`` the order stays as a column of that name, for consumers that
     would deal the rows anew.
     """
-    keyed = rows.withColumn("__key", F.xxhash64(*order))
-    placed = mix_sources(keyed, weights, mix, source, ("__key",))
-    return placed.repartitionByRange(F.col("mix_order")).sortWithinPartitions("mix_order").select(*(c for c in rows.columns if c != place), *([F.col("mix_order").alias(place)] if place else []))
+    check_columns(rows, source, *order)
+    own = [c for c in rows.columns if c != place]
+    # The columns travel under private names: mix_sources replaces some.
+    keyed = rows.select(F.xxhash64(*order).alias("__key"), F.col(source).alias("__by"), *(F.col(c).alias(f"__own_{i}") for i, c in enumerate(own)))
+    placed = mix_sources(keyed, weights, mix, "__by", ("__key",))
+    back = [F.col(f"__own_{i}").alias(c) for i, c in enumerate(own)]
+    return placed.repartitionByRange(F.col("mix_order")).sortWithinPartitions("mix_order").select(*back, *([F.col("mix_order").alias(place)] if place else []))

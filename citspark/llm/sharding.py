@@ -169,10 +169,10 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__grp", group)
 
 
-def _numbered(keyed: DataFrame, repeats: bool, order: str | None = None) -> DataFrame:
-    """``node``: unique for each row; rows equal in id and text are numbered, by ``order`` where it is named."""
+def _numbered(keyed: DataFrame, repeats: bool, order: str | None = None, name: str = "node") -> DataFrame:
+    """``name``: unique for each row; rows equal in id and text are numbered, by ``order`` where it is named."""
     copy = F.row_number().over(Window.partitionBy("__id", "__grp").orderBy(order or "__id")) if repeats else F.lit(1)
-    return keyed.withColumn("__copy", copy).withColumn("node", F.struct("__id", "__grp", "__copy")).drop("__copy")
+    return keyed.withColumn("__copy", copy).withColumn(name, F.struct("__id", "__grp", "__copy")).drop("__copy")
 
 
 def _repeats(keyed: DataFrame) -> bool:
@@ -203,7 +203,8 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 4) -> D
 def sharded(documents: DataFrame, shards: int = 8, rounds: int = 4, order: str | None = None) -> DataFrame:
     """``documents`` with shard and slot, by the same rules; all columns stay.
 
-    With ``order``, a column of longs, the slots of each shard follow it.
+    With ``order``, a column of longs, the slots of each shard follow it.  Columns
+    that are already named shard or slot are replaced.
     """
     check_columns(documents, "doc_id", "text", *([order] if order else []))
     keyed = _keyed(documents)
@@ -212,5 +213,7 @@ def sharded(documents: DataFrame, shards: int = 8, rounds: int = 4, order: str |
     repeats = _repeats(slim)
     nodes = _numbered(slim, repeats, order and "__order")
     placed = assign_shards(nodes.select("node", *(["__order"] if order else [])), nodes.select("node", F.col("__grp").alias("grp")), shards, rounds, order and "__order")
-    whole = _numbered(keyed, repeats, order)
-    return whole.join(placed.select("node", "shard", "slot"), "node").select(*documents.columns, "shard", "slot")
+    whole = _numbered(keyed, repeats, order, "__node")
+    found = placed.select(F.col("node").alias("__node"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    kept = [c for c in documents.columns if c not in ("shard", "slot")]
+    return whole.join(found, "__node").select(*kept, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))

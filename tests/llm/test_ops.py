@@ -577,3 +577,20 @@ def test_quality_rejects_toxic_documents_by_a_few_words(spark):
     assert all(r.kept == (r.llr >= r.threshold) for r in clean) and sum(r.kept for r in clean) >= 0.95 * len(clean)
     for r in found:
         assert (r.toxic_score > 0) == (r.doc_id % 5 == 0)
+
+
+def test_shards_and_mixture_take_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    names = "node grp shard slot phase share copy place __own".split()
+    rows = [(i, f"text {i % 30}", "en", "big" if i % 4 else "small", *(100 * k + i for k in range(len(names)))) for i in range(60)] + [(None,) * (4 + len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    key = lambda t: sorted(t, key=repr)
+    mixed = mixing.mixed_order(docs)
+    assert mixed.columns == docs.columns and key(map(tuple, mixed.collect())) == key(rows)
+    assert mixing.mix_sources(docs).columns[-4:] == ["phase", "slot", "mix_order", "share"]
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    for out in (sharding.sharded(docs, 4), corpus_pipeline.shard(spark, docs, str(tmp_path))):
+        assert out.columns == [*kept, "shard", "slot"]
+        assert key(map(tuple, out.select(*kept).collect())) == key(map(tuple, docs.select(*kept).collect()))
+        assert all(r.shard < 8 and r.slot < 100 for r in out.collect())
