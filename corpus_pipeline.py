@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept.  The first three return the columns of ``docs``; ``mix`` adds mix_order,
-which ``shard`` turns into the order of each shard's slots and drops.
+which ``shard`` turns into the order of each shard's slots and
+drops.  Empty tables give empty results; nulls and texts are taken as the
+stages' operators take them.  Other columns stay, but columns named mix_order,
+shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -13,6 +16,10 @@ from citspark.llm import decontam, mixing, near_dup, quality, sharding
 from citspark.llm.common import stage_table
 
 
+#: The mixture's order, between the last two stages.
+PLACE = "mix_order"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,13 +40,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the documents in the order of the mixture of their sources and adds it as mix_order."""
-    return mixing.mixed_order(docs, place="mix_order")
+    """Puts the documents in the order of the mixture of their sources and adds it as ``PLACE``."""
+    return mixing.mixed_order(docs, place=PLACE)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds shard and slot to each document; the slots of a shard follow mix_order."""
-    return sharding.sharded(docs, order="mix_order").drop("mix_order")
+    """Adds shard and slot to each document; the slots of a shard follow the mixture's order.
+
+    Documents that no mix stage has placed are placed here.
+    """
+    placed = docs if PLACE in docs.columns else mix(spark, docs, sf_dir)
+    return sharding.sharded(placed, order=PLACE).drop(PLACE)
 
 
 STAGES = [
