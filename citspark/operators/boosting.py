@@ -8,11 +8,11 @@ import random
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citspark.functions.columns import sigmoid
-from citspark.sources.storage import cut_lineage
+from citspark.sources.storage import cut_lineage, read_text, write_text
 
 from . import metrics
 from .objectives import COX, PAIRWISE, POINTWISE, cox_gradients, group_pairs, pairlogit_gradients, with_gradients
@@ -123,8 +123,7 @@ class BoosterModel:
 
     def sql(self) -> str:
         """The margin as one SQL expression over the raw columns, without missing values."""
-        cuts = [b.cuts for b in self.bins]
-        terms = [f"{number(r)} * ({t.sql(self.features, cuts)})" for t, r in zip(self.trees, self.rates)]
+        terms = [f"{number(r)} * ({t.sql(self.bins)})" for t, r in zip(self.trees, self.rates)]
         return " + ".join(terms) or "0e0"
 
     def to_json(self) -> str:
@@ -147,18 +146,17 @@ class BoosterModel:
         d = json.loads(text)
         if d.get("kind") != "citspark.booster" or d.get("format") != 1:
             raise ValueError("not a booster document")
-        bins = [FeatureBins(b["name"], tuple(b["cuts"]), b["missing"], b["categorical"]) for b in d["bins"]]
+        bins = [FeatureBins.from_dict(b) for b in d["bins"]]
         trees = [Tree([Node(n[0], n[1], feature=n[2], bin=n[3], left_bins=tuple(n[4]), gain=n[5], left=n[6], right=n[7]) for n in t]) for t in d["trees"]]
         return cls(d["features"], bins, trees, d["rates"], d["objective"], d["history"], d["best_iteration"])
 
     def save(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(self.to_json())
+        """Write the document to any file system that the session knows."""
+        write_text(SparkSession.active(), path, self.to_json())
 
     @classmethod
     def load(cls, path: str) -> BoosterModel:
-        with open(path, encoding="utf-8") as f:
-            return cls.from_json(f.read())
+        return cls.from_json(read_text(SparkSession.active(), path))
 
 
 def sample_weight(p: BoostParams, iteration: int, row_id: str) -> Column:
@@ -223,12 +221,13 @@ def fit(
     init: BoosterModel | None = None,
     callbacks: Sequence[Callable[[dict], bool]] = (),
     group: str | None = None,
+    categorical: Sequence[str] = (),
 ) -> BoosterModel:
     """Train; ``valid`` turns on evaluation, ``init`` continues an earlier model.
 
     ``group`` names the column whose rows a pairwise objective compares.  Cox
     takes signed times: positive for events, negative for censored rows.
-    Histories are weighted by ``weight`` where the metric takes weights.
+    ``categorical`` names the features whose values are keys.  Histories are weighted by ``weight`` where the metric takes weights.
     """
     kind = BOOSTING_TYPES.get(p.boosting_type.lower())
     if kind is None:
@@ -236,7 +235,7 @@ def fit(
     if p.objective.lower() not in {*POINTWISE, *COX, *PAIRWISE}:
         raise ValueError(f"unknown objective {p.objective!r}; known: {sorted({*POINTWISE, *COX, *PAIRWISE})}")
     joined = p.objective.lower() in {*COX, *PAIRWISE}
-    bins = init.bins if init else fit_bins(df, features, p.max_bins, p.nan_mode)
+    bins = init.bins if init else fit_bins(df, features, p.max_bins, p.nan_mode, categorical=categorical)
     model = BoosterModel(features, bins, list(init.trees) if init else [], list(init.rates) if init else [], p.objective, {"train": [], "valid": []})
     name = p.eval_metric or p.objective
     earlier = len(model.trees)
@@ -267,7 +266,7 @@ def fit(
         own = own.withColumnRenamed("__bins", "bins")
         if joined:  # these gradients take joins, which no level should repeat
             own = own.persist()
-        tree = grow(own, p.tree, sample_features(p, it, eligible))
+        tree = grow(own, p.tree, sample_features(p, it, eligible), frozenset(i for i, b in enumerate(bins) if b.categorical))
         if joined:
             own.unpersist()
         # Dropped trees shrink to make room for the new one.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from citspark.functions.columns import argmax, sigmoid, softmax
 
 from .objectives import group_pairs
+from .running import running_sums
 
 _EPS = 1e-12
 
@@ -99,8 +100,8 @@ def auc(df: DataFrame, p: str = "p", y: str = "y", w: str | None = None) -> Data
     """Tie-aware; 0 when a class is missing."""
     weight = F.col(w).cast("double") if w else F.lit(1.0)
     per = df.groupBy(F.col(p).alias("s")).agg(F.sum(F.when(F.col(y) > 0.5, weight).otherwise(0.0)).alias("a"), F.sum(F.when(F.col(y) > 0.5, 0.0).otherwise(weight)).alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    area = per.select("a", "b", (F.col("a") * (below + 0.5 * F.col("b"))).alias("c")).agg(F.sum("c").alias("c"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    upto = running_sums(per, "s", {"upto": F.col("b")})
+    area = upto.select("a", "b", (F.col("a") * (F.col("upto") - 0.5 * F.col("b"))).alias("c")).agg(F.sum("c").alias("c"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     return area.select(F.coalesce(F.try_divide("c", F.col("a") * F.col("b")), F.lit(0.0)).alias("value"))
 
 
@@ -137,8 +138,8 @@ def pairlogit(pairs: DataFrame) -> DataFrame:
 def cox(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """Negative mean partial log likelihood of the rows."""
     times = df.groupBy(F.abs(F.col(y)).alias("t")).agg(F.sum(F.exp(F.col(p))).alias("s"), F.sum(F.when(F.col(y) > 0, 1.0).otherwise(0.0)).alias("d"), F.sum(F.when(F.col(y) > 0, F.col(p)).otherwise(0.0)).alias("e"), F.count(F.lit(1)).alias("n"))
-    risk = F.sum("s").over(Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return times.select((F.col("d") * F.log(risk) - F.col("e")).alias("a"), "n").agg((F.sum("a") / F.sum("n")).alias("value"))
+    risk = running_sums(times, "t", {"risk": F.col("s")}, descending=True)
+    return risk.select((F.col("d") * F.log("risk") - F.col("e")).alias("a"), "n").agg((F.sum("a") / F.sum("n")).alias("value"))
 
 
 def survival_exponential(df: DataFrame, p: str = "p", y: str = "y", w: str | None = None) -> DataFrame:
@@ -148,15 +149,21 @@ def survival_exponential(df: DataFrame, p: str = "p", y: str = "y", w: str | Non
 def concordance(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """C-index over pairs of an event and a later time, by distinct (time, score).
 
-    Rows are grouped first; the join is over time alone and stays quadratic in
-    the number of distinct pairs, like the statistic itself.
+    Times are ranked; two ranks first differ at one of their bits, so each pair
+    is met once: among the rows whose ranks agree above that bit, the earlier has
+    0 there and the later 1.  Within such a cell running sums over the scores count the
+    pairs: n log n rows in all, and no join of pairs.
     """
     g = df.groupBy(F.abs(F.col(y)).alias("t"), F.col(p).alias("s")).agg(F.sum(F.when(F.col(y) > 0, 1.0).otherwise(0.0)).alias("e"), F.count(F.lit(1)).cast("double").alias("n"))
-    a, b = g.filter("e > 0").select(F.col("t").alias("t1"), F.col("s").alias("s1"), "e"), g.select(F.col("t").alias("t2"), F.col("s").alias("s2"), "n")
-    pairs = a.join(b, F.col("t2") > F.col("t1"))
-    m = F.col("e") * F.col("n")
-    good = F.when(F.col("s1") > F.col("s2"), m).when(F.col("s1") == F.col("s2"), 0.5 * m).otherwise(0.0)
-    return pairs.agg(F.coalesce(F.try_divide(F.sum(good), F.sum(m)), F.lit(0.0)).alias("value"))
+    times = g.select(F.col("t").alias("__t")).filter("__t IS NOT NULL").distinct()
+    ranks = running_sums(times, "__t", {"rank": F.lit(1).cast("long")})
+    bits = max(1, times.count().bit_length())
+    cells = g.join(ranks, F.col("t") == F.col("__t")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    late = F.expr("shiftright(rank, level) & 1") == 1
+    sides = cells.groupBy("level", F.expr("shiftright(rank, level + 1)").alias("prefix"), "s").agg(F.sum(F.when(~late, F.col("e")).otherwise(0.0)).alias("e"), F.sum(F.when(late, F.col("n")).otherwise(0.0)).alias("n"))
+    upto = running_sums(sides, "s", {"upto": F.col("n")}, keys=("level", "prefix"))
+    met = upto.groupBy("level", "prefix").agg(F.sum(F.col("e") * (F.col("upto") - 0.5 * F.col("n"))).alias("good"), (F.sum("e") * F.sum("n")).alias("all"))
+    return met.agg(F.coalesce(F.try_divide(F.sum("good"), F.sum("all")), F.lit(0.0)).alias("value"))
 
 
 #: name -> (function, higher is better)

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citspark.functions.columns import sigmoid, softmax
 
+from .running import running_sums
+
 Pair = tuple[Column, Column]
 _TINY = 1e-12
 
@@ -90,10 +92,8 @@ def cox_gradients(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """Breslow partial likelihood over signed times, summed by distinct time first."""
     rows = df.withColumn("__t", F.abs(F.col(y))).withColumn("__e", F.exp(F.col(p)))
     times = rows.groupBy("__t").agg(F.sum("__e").alias("s"), F.sum(F.when(F.col(y) > 0, 1.0).otherwise(0.0)).alias("d"))
-    later = Window.orderBy(F.col("__t").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
-    risk = times.withColumn("r", F.sum("s").over(later))
-    sums = risk.select(F.col("__t"), F.sum(F.col("d") / F.col("r")).over(earlier).alias("a"), F.sum(F.col("d") / (F.col("r") * F.col("r"))).over(earlier).alias("b"))
+    risk = running_sums(times, "__t", {"r": F.col("s")}, descending=True)
+    sums = running_sums(risk, "__t", {"a": F.col("d") / F.col("r"), "b": F.col("d") / (F.col("r") * F.col("r"))}).select("__t", "a", "b")
     found = rows.join(sums, "__t")
     event = F.when(F.col(y) > 0, 1.0).otherwise(0.0)
     g = F.col("__e") * F.col("a") - event

@@ -9,7 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citspark.functions.columns import bin_of
+from citspark.functions.columns import OTHER_KEY, bin_of, normalize_key
+
+from .features import dictionary
 
 #: Ranges of values that running sums are split into.
 RANGES = 64
@@ -65,12 +67,25 @@ class FeatureBins:
     cuts: tuple[float, ...]
     missing: str | None = None
     categorical: bool = False
+    #: Of a categorical feature: its keys, in the order of their bins.
+    keys: tuple[str, ...] = ()
+
+    @classmethod
+    def from_dict(cls, d: dict) -> FeatureBins:
+        return cls(d["name"], tuple(d["cuts"]), d["missing"], d["categorical"], tuple(d.get("keys", ())))
 
     @property
     def bins(self) -> int:
+        if self.categorical:
+            return len(self.keys)
         return len(self.cuts) + 1 + (self.missing in ("min", "max"))
 
     def column(self) -> Column:
+        if self.categorical:
+            # Unknown keys take the bin of the others, or -1, which goes right at every split.
+            place = F.array_position(F.array(*(F.lit(k) for k in self.keys)), normalize_key(F.col(self.name))) - 1
+            other = F.lit(self.keys.index(OTHER_KEY) if OTHER_KEY in self.keys else -1)
+            return F.when(place >= 0, place).otherwise(other).cast("int")
         value = F.col(self.name).cast("float").cast("double")
         gone = value.isNull() | F.isnan(value)
         if self.missing == "forbidden":
@@ -81,12 +96,20 @@ class FeatureBins:
         return bin_of(value, list(self.cuts), gone, self.missing)
 
 
-def fit_bins(df: DataFrame, features: Sequence[str], max_bins: int = 256, nan_mode: str = "min", borders: dict[str, Sequence[float]] | None = None, method: str = "quantile") -> list[FeatureBins]:
-    """Bins of all features; a missing bin only where the data has missing values."""
-    gone = df.agg(*(F.max((F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).cast("int")).alias(f) for f in features)).first()
+def fit_bins(df: DataFrame, features: Sequence[str], max_bins: int = 256, nan_mode: str = "min", borders: dict[str, Sequence[float]] | None = None, method: str = "quantile", categorical: Sequence[str] = ()) -> list[FeatureBins]:
+    """Bins of all features; a missing bin only where the data has missing values.
+
+    A categorical feature has a bin for each key, missing values being a key; of
+    more than ``max_bins`` keys the most frequent keep theirs and the others share one.
+    """
+    gone = df.agg(*(F.max((F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).cast("int")).alias(f) for f in features if f not in categorical), F.lit(0).alias("__none")).first()
     cut = quantile_cuts if method.lower() == "quantile" else uniform_cuts
     out = []
     for f in features:
+        if f in categorical:
+            codes = dictionary(df, f, max_keys=max_bins).orderBy("code").collect()  # at most max_bins rows
+            out.append(FeatureBins(f, (), None, True, tuple(r.key for r in codes)))
+            continue
         cuts = custom_borders(borders[f]) if borders and f in borders else cut(df, f, max_bins)
         mode = nan_mode.lower() if gone[f] else ("forbidden" if nan_mode.lower() == "forbidden" else None)
         if gone[f] and mode == "forbidden":

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citspark.functions.columns import OTHER_KEY
+
 from .stats import chi2_sf, histogram
 
 
@@ -81,13 +83,23 @@ class Tree:
                 out[node.feature] += node.gain
         return out
 
-    def sql(self, columns: list[str], cuts: list[tuple[float, ...]], at: int = 0) -> str:
-        """The tree as a CASE expression over raw numeric columns."""
+    def sql(self, bins: list, at: int = 0) -> str:
+        """The tree as a CASE expression over raw columns, described by their FeatureBins."""
         node = self.nodes[at]
         if node.is_leaf:
             return number(node.weight)
-        test = f"CAST(CAST({columns[node.feature]} AS FLOAT) AS DOUBLE) < {number(cuts[node.feature][node.bin])}"
-        return f"CASE WHEN {test} THEN {self.sql(columns, cuts, node.left)} ELSE {self.sql(columns, cuts, node.right)} END"
+        own = bins[node.feature]
+        if own.categorical:
+            keys = ", ".join("'" + own.keys[b].replace("'", "''") + "'" for b in node.left_bins)
+            key = f"COALESCE(CAST({own.name} AS STRING), '__missing__')"
+            if OTHER_KEY in own.keys and own.keys.index(OTHER_KEY) in node.left_bins:
+                right = ", ".join("'" + k.replace("'", "''") + "'" for b, k in enumerate(own.keys) if b not in node.left_bins)
+                test = f"{key} NOT IN ({right})"
+            else:
+                test = f"{key} IN ({keys})"
+        else:
+            test = f"CAST(CAST({own.name} AS FLOAT) AS DOUBLE) < {number(own.cuts[node.bin])}"
+        return f"CASE WHEN {test} THEN {self.sql(bins, node.left)} ELSE {self.sql(bins, node.right)} END"
 
 
 def _score(g: float, h: float, l2: float) -> float:
@@ -178,7 +190,7 @@ def grow(rows: DataFrame, p: TreeParams, features: list[int], categorical: froze
             tests = {f: t for f, t in tests.items() if t[1] > 0}
             if not tests:
                 continue
-            mono = lambda f: p.monotone[f] if p.monotone else 0
+            mono = lambda f: p.monotone[f] if p.monotone and f not in categorical else 0
             if ranked:
                 found = [(s[0] * (p.feature_weights[f] if p.feature_weights else 1.0), f, s) for f, t in tests.items() if t[2] <= p.alpha and (s := best_split(own[f], p, f in categorical, mono(f), node))]
                 chosen = max(found, key=lambda x: (x[0], -x[1]), default=None)

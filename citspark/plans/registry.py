@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citspark.functions import columns as C
+from citspark.functions.hashing import hashed_counts
 from citspark.operators import features as X
 from citspark.operators import metrics as M
 from citspark.operators import objectives as O
+from citspark.operators import prepare as P
 from citspark.operators import quantize as Q
 from citspark.operators import stats as S
 from citspark.operators.boosting import BoostParams, fit
+from citspark.operators.multiclass import fit_multiclass
 from citspark.operators.tree import TreeParams
+from citspark.sources.storage import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -348,10 +352,18 @@ _add(
     lambda s, d: _read(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("feature", "v")).filter("v > 0.1").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("v").cast("double")), 5).alias("total")),
     "SELECT CAST(k AS INT) AS feature, count(*) AS n, round(sum(CAST(v AS DOUBLE)), 5) AS total FROM (SELECT unnest(range(0, 64)) AS k, unnest(embedding) AS v FROM embeddings) WHERE v > CAST(0.1 AS DOUBLE) GROUP BY 1",
 )
+
+
+def _csv(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_folder(spark, "demo-csv")
+    P.write_submission(_read(spark, d, "part"), path, "p_partkey", "p_name", "p_retailprice")
+    return P.read_csv(spark, path, "p_partkey long, p_name string, p_retailprice double")
+
+
 _add(
     "csv_demo_scan",
-    lambda s, d: _read(s, d, "part").agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"), F.count("p_name").alias("n")),
-    "SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, count(p_name) AS n FROM part",
+    lambda s, d: _csv(s, d).agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"), F.count("p_name").alias("n"), F.sum("p_partkey").alias("keys")),
+    "SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, count(p_name) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part",
 )
 _add(
     "class_weight_lookup",
@@ -428,7 +440,7 @@ _add(
 _add("predict_proba", lambda s, d: _round(_binary(s, d).select("row_id", C.sigmoid(F.col("p")).alias("proba"), (F.col("p") >= 0).cast("int").alias("label"))), f"SELECT row_id, round({SIGMOID}, 6) AS proba, CAST(p >= 0 AS INT) AS label FROM {BINARY}")
 _add(
     "collapse_rare",
-    lambda s, d: _read(s, d, "part").select("p_partkey", F.when(F.count(F.lit(1)).over(Window.partitionBy("p_brand")) < 80, F.lit("rare")).otherwise(F.col("p_brand")).alias("brand")),
+    lambda s, d: P.collapse_rare(_read(s, d, "part"), "p_brand", 80, out="brand").select("p_partkey", "brand"),
     "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) < 80 THEN 'rare' ELSE p_brand END AS brand FROM part",
 )
 _add("log1p_target", lambda s, d: _round(_read(s, d, "part").select("p_partkey", F.log1p("p_retailprice").alias("t"), F.expm1(F.log1p("p_retailprice")).alias("back"))), "SELECT p_partkey, round(ln(1 + p_retailprice), 6) AS t, round(exp(ln(1 + p_retailprice)) - 1, 6) AS back FROM part")
@@ -451,3 +463,86 @@ def _contributions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("predict_contrib", _contributions)
+
+
+# --- preparation, looked-up and per-class statistics ------------------------------------------------
+
+
+def _gaps(spark: SparkSession, d: str) -> DataFrame:
+    t = _read(spark, d, "orders")
+    return t.select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("priority"))
+
+
+GAPS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority FROM orders)"
+_add("fill_constant", lambda s, d: P.fill_constant(_gaps(s, d), {"price": -1.0, "priority": "none"}), f"SELECT o_orderkey, coalesce(price, -1.0) AS price, coalesce(priority, 'none') AS priority FROM {GAPS}")
+_add("fill_median", lambda s, d: _round(P.fill_median(_gaps(s, d), "price").select("o_orderkey", "price"), 4), f"SELECT o_orderkey, round(coalesce(price, (SELECT median(price) FROM {GAPS})), 4) AS price FROM {GAPS}")
+_add(
+    "derived_columns",
+    lambda s, d: _round(_gaps(s, d).select("o_orderkey", (F.col("price") / 1000 + 1).alias("scaled"), P.clip(F.col("price"), 50000.0, 150000.0).alias("clipped"), P.flag(F.col("price") > 100000).alias("large"))),
+    f"SELECT o_orderkey, round(price / 1000 + 1, 6) AS scaled, round(CASE WHEN price IS NOT NULL THEN least(greatest(price, 50000), 150000) END, 6) AS clipped, CAST(coalesce(price > 100000, false) AS INT) AS large FROM {GAPS}",
+)
+_add(
+    "text_parts",
+    lambda s, d: _read(s, d, "part").select("p_partkey", P.first_char(F.col("p_type")).alias("first"), F.regexp_extract("p_brand", "#([0-9]+)", 1).alias("number"), F.regexp_replace("p_name", "[^a-z]+", "_").alias("flat")),
+    "SELECT p_partkey, substr(p_type, 1, 1) AS first, regexp_extract(p_brand, '#([0-9]+)', 1) AS number, regexp_replace(p_name, '[^a-z]+', '_', 'g') AS flat FROM part",
+)
+_add(
+    "stratified_split",
+    lambda s, d: P.stratified_split(_read(s, d, "events"), "event_type", "event_id", 0.25).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("held_out").cast("long")).alias("held")),
+    "SELECT event_type, count(*) AS n, CAST(floor(0.25 * count(*)) AS BIGINT) AS held FROM events GROUP BY event_type",
+)
+_add(
+    "ordered_class_ctr",
+    lambda s, d: _round(X.ordered_class_means(_read(s, d, "events").withColumn("y", F.col("event_id") % 3), "event_type", "y", "event_id", 3).select("event_id", "ctr_0", "ctr_1", "ctr_2"), 8),
+    "SELECT event_id, " + ", ".join(f"round((coalesce(sum(CASE WHEN event_id % 3 = {k} THEN 1 ELSE 0 END) OVER w, 0) + 1.0 / 3) / (count(*) OVER w + 1), 8) AS ctr_{k}" for k in range(3)) + " FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+)
+_add(
+    "ctr_lookup",
+    lambda s, d: _round(X.ctr_lookup(_events(s, d), X.full_mean(_events(s, d).filter("event_id % 2 = 0 AND kind <> 'error'"), "kind", "value", F.lit(0.5)), "kind", F.lit(0.5)).select("event_id", "ctr"), 6),
+    f"WITH t AS (SELECT kind, (sum(value) + 0.5) / (count(*) + 1) AS ctr FROM {EVENTS} WHERE event_id % 2 = 0 AND kind <> 'error' GROUP BY 1) SELECT event_id, round(coalesce(ctr, 0.5), 6) AS ctr FROM {EVENTS} e LEFT JOIN t ON e.kind = t.kind",
+)
+_add("hash_text_blake2b", lambda s, d: _read(s, d, "documents").select("doc_id", hashed_counts(F.col("text"), 16).alias("counts")))
+
+# --- training with categories and classes ----------------------------------------------------------
+
+#: One split without a test of significance, so that SQL can follow it.
+_STUMP = TreeParams(max_depth=1, alpha=1.0)
+
+
+def _categorical(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("priority"), (F.col("o_totalprice") / 100000).alias("y"))
+    model = fit(rows, ["priority"], "y", BoostParams(iterations=1, learning_rate=1.0, tree=_STUMP), categorical=["priority"])
+    return _round(model.transform(rows).select("row_id", "prediction"))
+
+
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("string").alias("mode"), F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("y"))
+    model = fit_multiclass(rows, ["mode"], "y", 3, BoostParams(objective="multiclass", iterations=1, learning_rate=1.0, tree=_STUMP), categorical=["mode"])
+    scored = model.transform(rows)
+    return _round(scored.select("l_orderkey", "l_linenumber", *(F.get("prediction", F.lit(k)).alias(f"m{k}") for k in range(3))))
+
+
+def _best_subset(groups: str) -> str:
+    """SQL: ``side``, the keys of table ``groups`` (k, g, h) left of the best split."""
+    return f"""o AS (SELECT k, g, h, row_number() OVER (ORDER BY g / (h + 1), k) AS place FROM {groups}),
+    r AS (SELECT place, sum(g) OVER (ORDER BY place) AS lg, sum(h) OVER (ORDER BY place) AS lh, sum(g) OVER () AS g, sum(h) OVER () AS h FROM o),
+    best AS (SELECT place FROM r WHERE place < (SELECT max(place) FROM r) ORDER BY lg * lg / (lh + 1) + (g - lg) * (g - lg) / (h - lh + 1) DESC, place LIMIT 1),
+    side AS (SELECT k, place <= (SELECT place FROM best) AS l FROM o)"""
+
+
+_add(
+    "fit_categorical",
+    _categorical,
+    f"""WITH t AS (SELECT o_orderkey AS row_id, o_orderpriority AS k, o_totalprice / 100000 AS y FROM orders),
+    c AS (SELECT k, -sum(y) AS g, CAST(count(*) AS DOUBLE) AS h FROM t GROUP BY k), {_best_subset("c")}
+    SELECT row_id, round(sum(y) OVER w / (count(*) OVER w + 1), 6) AS prediction FROM t JOIN side USING (k) WINDOW w AS (PARTITION BY l)""",
+)
+_add(
+    "multiclass_shared_tree",
+    _classes,
+    f"""WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS VARCHAR) AS k, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem),
+    v AS (SELECT y FROM t GROUP BY y ORDER BY count(*) * ((SELECT count(*) FROM t) - count(*)) DESC, y LIMIT 1),
+    c AS (SELECT k, count(*) / 3.0 - sum(CASE WHEN y = (SELECT y FROM v) THEN 1.0 ELSE 0.0 END) AS g, count(*) * 2 / 9.0 AS h FROM t GROUP BY k), {_best_subset("c")}
+    SELECT l_orderkey, l_linenumber, {", ".join(f"round(-(count(*) OVER w / 3.0 - sum(CASE WHEN y = {k} THEN 1.0 ELSE 0.0 END) OVER w) / (count(*) OVER w * 2 / 9.0 + 1), 6) AS m{k}" for k in range(3))}
+    FROM t JOIN side USING (k) WINDOW w AS (PARTITION BY l)""",
+)
