@@ -15,8 +15,8 @@ How it runs:
    is dealt to several buckets by its next word.
 3. A bucket holds all of its pairs' occurrences: it counts them, stores the
    pairs, and returns per document the resolved part of its score, per context
-   the sums behind ``alpha``, and what needs other tables: unseen pairs, and
-   words without a code.
+   the sums behind ``alpha``, and what needs other tables: how often it has
+   unseen pairs of a context, and words without a code.
 4. Joins and sums of these (far fewer rows than tokens) give the scores.
 """
 
@@ -52,7 +52,7 @@ class Katz:
     """
 
     top: int = 1 << 20
-    bucket_tokens: int = 2_000_000
+    bucket_tokens: int = 1_500_000
     context_tokens: int = 500_000
     batch_tokens: int = 1_500_000
     floor: float = 1e-4
@@ -197,7 +197,7 @@ def word_model(documents: DataFrame, learn: Callable[[object], bool], p: Katz) -
     return model, words
 
 
-_OUT = "kind string, bucket int, doc_id long, no_id boolean, text_key long, train boolean, h long, w long, n long, v double, base double, known long, tokens long, ends long, r1 long, r2 long, r3 long, r4 long, r5 long, big long, mass double, c_h long, blob binary"
+_OUT = "kind string, bucket int, doc_id long, no_id boolean, text_key long, train boolean, h long, w long, n long, missed long, v double, base double, known long, tokens long, ends long, r1 long, r2 long, r3 long, r4 long, r5 long, big long, mass double, c_h long, blob binary"
 
 
 def _deal(documents: DataFrame, learn: Callable[[object], bool], model: WordModel, p: Katz, buckets: int, key: str) -> DataFrame:
@@ -282,6 +282,20 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def _by_document(kind: str, name: str, key: np.ndarray, doc: np.ndarray, missed: np.ndarray | None, ids: np.ndarray, keys: np.ndarray, flags: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows of ``kind``: how often each document has each key, and how many of these ``missed`` marks."""
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    first = _runs(doc, key)
+    n = np.diff(np.append(first, len(key)))
+    marked = np.add.reduceat(missed[order].astype(np.int64), first) if missed is not None and len(first) else n
+    for lo in range(0, len(first), 200_000):
+        at = slice(lo, lo + 200_000)
+        i = first[at]
+        d = doc[i]
+        yield pd.DataFrame({"kind": kind, "doc_id": ids[d], "no_id": (flags[d] & 2) > 0, "text_key": keys[d], "train": (flags[d] & 1) > 0, name: key[i].view(np.int64), "n": n[at], "missed": marked[at]})
+
+
 def _solve_bucket(blobs: list[bytes], bucket: int, hashes: np.ndarray, counts: np.ndarray, model: WordModel, start_count: int) -> Iterator[pd.DataFrame]:
     """All that a bucket's triples give; see the module's step 3."""
     parts, base_doc = [unpack_triples(b) for b in blobs], 0
@@ -328,17 +342,18 @@ def _solve_bucket(blobs: list[bytes], bucket: int, hashes: np.ndarray, counts: n
     value[seen] = np.log10(c[seen] / ch[seen])
     cw = word_count(w)
     near = cw >= 0
+    back = ~seen & near  # the word's part of a backed-off score; its context's weight follows
+    value[back] = np.log10(np.maximum(model.p(cw[back]), 1e-300))
     lone = np.where(near, np.log10((np.maximum(cw, 0) + 1) / (model.total + model.types + 1)), 0.0)
     add = lambda x: np.bincount(doc, weights=x, minlength=len(ids))
     own = pd.DataFrame({"doc_id": ids, "no_id": (flags & 2) > 0, "text_key": keys, "train": (flags & 1) > 0, "v": add(value), "base": add(lone), "known": add(near & (cw > 0)), "tokens": add(np.ones(len(h))), "ends": add(w == END), "big": add(seen & (c > _K)), **{f"r{r}": add(c == r) for r in range(1, _K + 1)}})
     yield own.groupby(["doc_id", "no_id", "text_key", "train"], as_index=False).sum().assign(kind="document")
-    # Unseen pairs, and words without a code, of each document.
-    del own, value, lone
-    odd = np.flatnonzero(~seen | ~near)
-    for lo in range(0, len(odd), 200_000):
-        i = odd[lo : lo + 200_000]
-        d = doc[i]
-        yield pd.DataFrame({"kind": np.where(seen[i], "rare", "miss"), "doc_id": ids[d], "no_id": (flags[d] & 2) > 0, "text_key": keys[d], "train": (flags[d] & 1) > 0, "h": h[i].view(np.int64), "w": w[i].view(np.int64), "n": np.where(near[i], cw[i], -1), "c_h": ch[i]})
+    del own, value, lone, back, c, ch
+    # What needs other tables, counted by document: contexts of unseen pairs, and words without a code.
+    missed, away = np.flatnonzero(~seen), np.flatnonzero(~near)
+    yield from _by_document("miss", "h", h[missed], doc[missed], None, ids, keys, flags)
+    yield from _by_document("rare", "w", w[away], doc[away], ~seen[away], ids, keys, flags)
+    del missed, away, seen, near, cw
     # Contexts: what the back-off weight needs.
     first = c_pair > 0
     ph, pw, pc = h[pair][first], w[pair][first], c_pair[first]
@@ -417,23 +432,22 @@ def _finish(solved: DataFrame, words: DataFrame, model: WordModel, p: Katz) -> D
     resolved = kind("document").select(*doc, (F.col("v") + log_d).alias("v"), "base", "known", "tokens", "ends")
     # Words that have no short code: their counts come from the table.
     table = words.select("w", F.col("c").alias("c_w"))
-    odd = solved.filter(F.col("kind").isin("rare", "miss")).select("kind", *doc, "h", "w", "n")
-    # A coded word's count is at hand, so only its context's weight has to be found.
-    near = odd.filter("n >= 0").withColumn("c_w", F.when(F.col("n") > 0, F.col("n"))).withColumn("coded", F.lit(True))
-    away = odd.filter("n < 0").join(table, "w", "left").withColumn("coded", F.lit(False))
-    far = away.unionByName(near).drop("w", "n")
     # alpha(h) = left over mass of the seen pairs / left over mass of their words.
     linked = kind("link").join(table, "w").groupBy("h").agg(F.sum(p_word(F.col("c_w"))).alias("mass"))
     seen = kind("context").select("h", "c_h", "mass", "big", *rs).unionByName(linked.select("h", "mass"), allowMissingColumns=True)
     by_h = seen.groupBy("h").agg(F.max("c_h").alias("c"), F.sum("mass").alias("mass"), F.sum("big").alias("big"), *(F.sum(r).alias(r) for r in rs))
     free = sum((F.col(r) * F.lit(k * (1 - x)) for k, (r, x) in enumerate(zip(rs, d), 1)), F.col("big") * floor) / F.col("c")
     alpha = by_h.select("h", F.log10(free / (1 - F.col("mass"))).alias("log_alpha"))
-    misses = far.filter(F.col("kind") == "miss").join(alpha, "h", "left")
-    missed = misses.withColumn("v", F.coalesce("log_alpha", F.lit(0.0)) + F.log10(p_word(F.col("c_w"))))
-    lone = F.log10((F.coalesce("c_w", F.lit(0)) + 1) / F.lit(model.total + model.types + 1))
+    missed = kind("miss").select(*doc, "h", "n")
+    # Contexts with short codes are at most ``top`` and two marks, and most misses are theirs: no miss moves for them.
+    coded = F.col("h") >= 0  # a hash has the top bit set
+    near = missed.filter(coded).join(F.broadcast(alpha.filter(coded)), "h", "left")
+    far = missed.filter(~coded).join(alpha.filter(~coded), "h", "left")
     zero = F.lit(0).cast("long")
-    base = lambda rows, v: rows.select(*doc, v.alias("v"), F.when(F.col("coded"), F.lit(0.0)).otherwise(lone).alias("base"), F.when(~F.col("coded") & (F.col("c_w") > 0), F.lit(1).cast("long")).otherwise(zero).alias("known"), zero.alias("tokens"), zero.alias("ends"))
-    rest = base(missed, F.col("v")).unionByName(base(far.filter(F.col("kind") == "rare"), F.lit(0.0)))
+    backed = near.unionByName(far).select(*doc, (F.col("n") * F.coalesce("log_alpha", F.lit(0.0))).alias("v"), F.lit(0.0).alias("base"), zero.alias("known"), zero.alias("tokens"), zero.alias("ends"))
+    lone = F.log10((F.coalesce("c_w", F.lit(0)) + 1) / F.lit(model.total + model.types + 1))
+    rare = kind("rare").select(*doc, "w", "n", "missed").join(table, "w", "left")
+    rest = backed.unionByName(rare.select(*doc, (F.col("missed") * F.log10(p_word(F.col("c_w")))).alias("v"), (F.col("n") * lone).alias("base"), F.when(F.col("c_w") > 0, F.col("n")).otherwise(zero).alias("known"), zero.alias("tokens"), zero.alias("ends")))
     sums = resolved.unionByName(rest).groupBy(*doc).agg(*(F.sum(c).alias(c) for c in ("v", "base", "known", "tokens", "ends")))
     each = lambda c: F.col(c) / F.col("ends")
     out = sums.select(
