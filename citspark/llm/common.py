@@ -49,14 +49,14 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def stage_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stage_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     Unlike a local checkpoint the table outlives the executors that wrote it.
     """
     path = scratch_path(df.sparkSession, name)
     with shuffles_freed(df.sparkSession):
-        df.write.partitionBy(*partition_by).parquet(path)
+        df.write.partitionBy(*partition_by).option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -70,13 +70,17 @@ def discounts(n: list[int], floor: float) -> list[float]:
 
 @dataclass
 class WordModel:
-    """Unigram counts: N, V, discounts, and the coded words' hashes and counts."""
+    """Unigram counts: N, V, discounts; the coded words' hashes, their codes, and counts by code.
+
+    Codes are places by falling count, so that most tokens have small ones.
+    """
 
     total: int
     types: int
     d: list[float]
     floor: float
     hashes: np.ndarray  # sorted
+    codes: np.ndarray
     counts: np.ndarray
     unknown: float = field(default=0.0)
 
@@ -94,16 +98,16 @@ def word_hash(word: bytes) -> int:
 
 
 class _Codes(dict):
-    """Codes of words: place in the coded table, or the hash of any other word."""
+    """Codes of words that the table has, or the hash of any other word."""
 
-    def __init__(self, hashes: np.ndarray, limit: int = 200_000):
+    def __init__(self, hashes: np.ndarray, codes: np.ndarray, limit: int = 200_000):
         super().__init__()
-        self.hashes, self.limit = hashes, limit
+        self.hashes, self.codes, self.limit = hashes, codes, limit
 
     def __missing__(self, word: bytes) -> int:
         h = word_hash(word)
         at = int(np.searchsorted(self.hashes, np.uint64(h)))
-        code = at + 16 if at < len(self.hashes) and int(self.hashes[at]) == h else h
+        code = int(self.codes[at]) + 16 if at < len(self.hashes) and int(self.hashes[at]) == h else h
         if len(self) < self.limit and len(word) <= 64:
             self[word] = code
         return code
@@ -112,11 +116,11 @@ class _Codes(dict):
 _HELD: dict = {}
 
 
-def _codes(key: str, hashes: np.ndarray) -> _Codes:
+def _codes(key: str, hashes: np.ndarray, codes: np.ndarray) -> _Codes:
     """One code table a worker process and model."""
     if key not in _HELD:
         _HELD.clear()
-        _HELD[key] = _Codes(hashes)
+        _HELD[key] = _Codes(hashes, codes)
     return _HELD[key]
 
 
@@ -135,11 +139,17 @@ def _unplanes(b: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(t.itemsize, -1).T).view(t).ravel() if len(b) else np.zeros(0, dtype=t)
 
 
-_BLOB = ("<u8", "<u4", "<u8", "<u4", "<i8", "<i8", "<u1")
+_BLOB = ("<u8", "<u4", "<u8", "<u4", "<i8", "<i8", "<u1", "<u4", "<u4", "<f8")
 
 
 def pack_triples(arrays: list[np.ndarray]) -> bytes:
-    """Compressed columns: contexts, their counts, words, document places, documents."""
+    """Compressed columns: contexts, their counts, words, document places, documents and, where they start, their token sums."""
+    h, n, w = arrays[:3]
+    # Contexts ascend, and so do the words of each: steps are smaller than values.
+    steps = np.diff(w, prepend=w[:1] * 0)
+    first = np.cumsum(n) - n
+    steps[first] = w[first]
+    arrays = [np.diff(h, prepend=h[:1] * 0), n, steps, *arrays[3:]]
     parts = [_planes(a.astype(t)) for a, t in zip(arrays, _BLOB)]
     return np.array([len(p) for p in parts], dtype="<u4").tobytes() + zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
@@ -150,7 +160,10 @@ def unpack_triples(blob: bytes) -> list[np.ndarray]:
     for size, t in zip(sizes, _BLOB):
         out.append(_unplanes(data[at : at + int(size)], t))
         at += int(size)
-    return out
+    h, n, steps = out[:3]
+    first = np.cumsum(n, dtype=np.int64) - n
+    w = np.cumsum(steps)
+    return [np.cumsum(h), n, w - np.repeat(w[first] - steps[first], n), *out[3:]]
 
 
 def word_model(documents: DataFrame, learn: Callable[[object], bool], p: Katz) -> tuple[WordModel, DataFrame]:
@@ -188,25 +201,27 @@ def word_model(documents: DataFrame, learn: Callable[[object], bool], p: Katz) -
         room, least = room - spread[c], c
     # Columns, not row objects: two numbers a word on the driver.
     top = words.filter(F.col("c") >= least).select("w", "c").toArrow()
-    hashes = top["w"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
+    hashes, counts = top["w"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
+    order = np.lexsort((hashes, -counts))
+    hashes, counts = hashes[order], counts[order]
+    codes = np.argsort(hashes)
     d = discounts([spread.get(r, 0) for r in range(_K + 2)], p.floor)
-    model = WordModel(total, types, d, p.floor, hashes[order], top["c"].to_numpy().astype(np.int64)[order])
+    model = WordModel(total, types, d, p.floor, hashes[codes], codes.astype(np.uint32), counts)
     mass = sum((d[c - 1] if c <= _K else 1 - p.floor) * c * n for c, n in spread.items())
     model.unknown = 1 - mass / total if total else 1.0
     return model, words
 
 
-_OUT = "kind string, bucket int, doc_id long, no_id boolean, text_key long, train boolean, h long, w long, n long, missed long, v double, base double, known long, tokens long, ends long, r1 long, r2 long, r3 long, r4 long, r5 long, big long, mass double, c_h long, blob binary"
+_OUT = "kind string, bucket int, doc_id long, no_id boolean, text_key long, train boolean, h long, w long, n long, missed long, v double, base double, known long, tokens long, r1 long, r2 long, r3 long, r4 long, r5 long, big long, mass double, c_h long, blob binary"
 
 
 def _deal(documents: DataFrame, learn: Callable[[object], bool], model: WordModel, p: Katz, buckets: int, key: str) -> DataFrame:
     """(bucket, blob) rows: all triples of all documents."""
-    shared = documents.sparkSession.sparkContext.broadcast((model.hashes, model.counts))
+    shared = documents.sparkSession.sparkContext.broadcast((model.hashes, model.codes, model.counts))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, counts = shared.value
-        codes = _codes(key, hashes)
+        hashes, code_of, counts = shared.value
+        codes = _codes(key, hashes, code_of)
         # Buckets that a coded context is dealt to.
         splits = np.ones(len(counts) + 16, dtype=np.int64)
         splits[16:] = np.maximum(1, counts // p.context_tokens)
@@ -215,6 +230,8 @@ def _deal(documents: DataFrame, learn: Callable[[object], bool], model: WordMode
         keys: list[int] = []
         flags: list[int] = []
         texts: list[np.ndarray] = []
+        by_code = np.zeros(len(counts) + 16, dtype=np.int64)
+        by_code[int(END)], by_code[16:] = model_ends, counts
 
         def flush() -> Iterator[pd.DataFrame]:
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -228,15 +245,22 @@ def _deal(documents: DataFrame, learn: Callable[[object], bool], model: WordMode
             share[small] = splits[h[small].astype(np.int64)].astype(np.uint64)
             spot = _mix(h ^ _mix(_mix(w) % share + np.uint64(77)))
             bucket = (spot % np.uint64(buckets)).astype(np.int64)
+            # Sums over each text's coded tokens; they travel once, with the text's first token.
+            near = w < _TOP_BIT
+            c = by_code[np.where(near, w, 0).astype(np.int64)]
+            lone = np.where(near, np.log10((c + 1) / (model.total + model.types + 1)), 0.0)
+            own = [np.array(ids, dtype=np.int64), np.array(keys, dtype=np.int64), np.array(flags, dtype=np.uint8)]
+            sums = [sizes, np.bincount(doc, weights=near & (c > 0), minlength=len(sizes)), np.bincount(doc, weights=lone, minlength=len(sizes))]
+            home = bucket[np.cumsum(sizes) - sizes]
+            del near, c, lone, spot, share, small
             order = np.lexsort((w, h, bucket))
             bucket, h, w, doc = bucket[order], h[order], w[order], doc[order]
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            own = [np.array(ids, dtype=np.int64), np.array(keys, dtype=np.int64), np.array(flags, dtype=np.uint8)]
             out: dict[str, list] = {"bucket": [], "blob": []}
             for a, b in zip(cuts, np.append(cuts[1:], len(h))):
                 hh, first = h[a:b], np.flatnonzero(np.append(True, h[a + 1 : b] != h[a : b - 1]))
                 docs, place = np.unique(doc[a:b], return_inverse=True)
-                arrays = [hh[first], np.diff(np.append(first, b - a)), w[a:b], place, *(x[docs] for x in own)]
+                arrays = [hh[first], np.diff(np.append(first, b - a)), w[a:b], place, *(x[docs] for x in own), *(np.where(home[docs] == bucket[a], x[docs], 0) for x in sums)]
                 out["bucket"].append(int(bucket[a]))
                 out["blob"].append(pack_triples(arrays))
             yield pd.DataFrame(out)
@@ -261,8 +285,11 @@ def _deal(documents: DataFrame, learn: Callable[[object], bool], model: WordMode
             yield from flush()
 
     at = int(np.searchsorted(model.hashes, END))
-    model_ends = int(model.counts[at]) if at < len(model.hashes) and model.hashes[at] == END else 0
-    rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    model_ends = int(model.counts[model.codes[at]]) if at < len(model.hashes) and model.hashes[at] == END else 0
+    # Where no id comes twice, the id alone tells rows apart.
+    ids = documents.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("k")).first()
+    text_key = F.lit(0).cast("long") if ids.n == ids.k else F.xxhash64("text")
+    rows = documents.select("doc_id", text_key.alias("text_key"), "text")
     return rows.mapInPandas(deal, "bucket int, blob binary")
 
 
@@ -293,19 +320,19 @@ def _by_document(kind: str, name: str, key: np.ndarray, doc: np.ndarray, missed:
         at = slice(lo, lo + 200_000)
         i = first[at]
         d = doc[i]
-        yield pd.DataFrame({"kind": kind, "doc_id": ids[d], "no_id": (flags[d] & 2) > 0, "text_key": keys[d], "train": (flags[d] & 1) > 0, name: key[i].view(np.int64), "n": n[at], "missed": marked[at]})
+        yield pd.DataFrame({"kind": kind, "doc_id": ids[d], "no_id": (flags[d] & 2) > 0, "text_key": keys[d], name: key[i].view(np.int64), "n": n[at], "missed": marked[at]})
 
 
-def _solve_bucket(blobs: list[bytes], bucket: int, hashes: np.ndarray, counts: np.ndarray, model: WordModel, start_count: int) -> Iterator[pd.DataFrame]:
+def _solve_bucket(blobs: list[bytes], bucket: int, counts: np.ndarray, model: WordModel, start_count: int) -> Iterator[pd.DataFrame]:
     """All that a bucket's triples give; see the module's step 3."""
     parts, base_doc = [unpack_triples(b) for b in blobs], 0
     hs, ws, ds = [], [], []
-    for uh, nh, w, place, ids, _, _ in parts:
+    for uh, nh, w, place, ids, *_ in parts:
         hs.append(np.repeat(uh, nh))
         ws.append(w)
         ds.append((place + np.uint32(base_doc)).astype(np.int32))
         base_doc += len(ids)
-    ids, keys, flags = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
+    ids, keys, flags, sizes, known, base = (np.concatenate([p[i] for p in parts]) for i in range(4, 10))
     del parts, uh, nh, w, place
     # Each list goes as soon as it is joined, and each array as soon as it is sorted.
     h, w, doc = np.concatenate(hs), np.concatenate(ws), np.concatenate(ds)
@@ -344,11 +371,12 @@ def _solve_bucket(blobs: list[bytes], bucket: int, hashes: np.ndarray, counts: n
     near = cw >= 0
     back = ~seen & near  # the word's part of a backed-off score; its context's weight follows
     value[back] = np.log10(np.maximum(model.p(cw[back]), 1e-300))
-    lone = np.where(near, np.log10((np.maximum(cw, 0) + 1) / (model.total + model.types + 1)), 0.0)
     add = lambda x: np.bincount(doc, weights=x, minlength=len(ids))
-    own = pd.DataFrame({"doc_id": ids, "no_id": (flags & 2) > 0, "text_key": keys, "train": (flags & 1) > 0, "v": add(value), "base": add(lone), "known": add(near & (cw > 0)), "tokens": add(np.ones(len(h))), "ends": add(w == END), "big": add(seen & (c > _K)), **{f"r{r}": add(c == r) for r in range(1, _K + 1)}})
-    yield own.groupby(["doc_id", "no_id", "text_key", "train"], as_index=False).sum().assign(kind="document")
-    del own, value, lone, back, c, ch
+    names = pd.DataFrame({"doc_id": ids, "no_id": (flags & 2) > 0, "text_key": keys})
+    yield names.assign(kind="document", v=add(value), big=add(seen & (c > _K)), **{f"r{r}": add(c == r) for r in range(1, _K + 1)})
+    home = sizes > 0
+    yield names[home].assign(kind="text", train=(flags[home] & 1) > 0, tokens=sizes[home], known=known[home], base=base[home])
+    del names, value, back, c, ch
     # What needs other tables, counted by document: contexts of unseen pairs, and words without a code.
     missed, away = np.flatnonzero(~seen), np.flatnonzero(~near)
     yield from _by_document("miss", "h", h[missed], doc[missed], None, ids, keys, flags)
@@ -367,7 +395,7 @@ def _solve_bucket(blobs: list[bytes], bucket: int, hashes: np.ndarray, counts: n
         yield pd.DataFrame({"kind": "context", "h": ph[group].view(np.int64), "c_h": cx, "mass": total(mass), "big": total(np.where(pc > _K, pc, 0)), **{f"r{r}": total((pc == r).astype(np.int64)) for r in range(1, _K + 1)}})
         far = np.flatnonzero(~near)
         yield pd.DataFrame({"kind": "link", "h": ph[far].view(np.int64), "w": pw[far].view(np.int64)})
-        blob = pack_triples([ph[group], np.diff(np.append(group, len(ph))), pw, pc, *(np.zeros(0, dtype=np.int64),) * 2, np.zeros(0, dtype=np.uint8)])
+        blob = pack_triples([ph[group], np.diff(np.append(group, len(ph))), pw, pc, *(np.zeros(0, dtype=np.int64),) * 6])
         spread = np.bincount(np.minimum(pc, _K + 1), minlength=_K + 2)
         yield pd.DataFrame({"kind": ["pairs"], "bucket": [bucket], "blob": [blob], **{f"r{r}": [spread[r]] for r in range(1, _K + 1)}, "big": [int((pc == _K + 1).sum())]})
 
@@ -391,26 +419,27 @@ def katz_scores(documents: DataFrame, learn: Callable[[object], bool], p: Katz =
     key = scratch_path(spark, "katz")
     # Held-out tokens come on top of the training ones: at most a few times as many.
     buckets = max(4, math.ceil(1.2 * model.total / p.bucket_tokens))
-    shared = spark.sparkContext.broadcast((model.hashes, model.counts))
-    bare = WordModel(model.total, model.types, model.d, model.floor, np.zeros(0), np.zeros(0), model.unknown)
+    shared = spark.sparkContext.broadcast(model.counts)
+    none = np.zeros(0)
+    bare = WordModel(model.total, model.types, model.d, model.floor, none, none, none, model.unknown)
     columns = [c.split()[0] for c in _OUT.split(", ")]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, counts = shared.value
+        counts = shared.value
         held: list[bytes] = []
         at = None
         for batch in batches:
             for bucket, blob in zip(batch["bucket"], batch["blob"]):
                 if at is not None and bucket != at:
-                    yield from (x.reindex(columns=columns) for x in _solve_bucket(held, at, hashes, counts, bare, start))
+                    yield from (x.reindex(columns=columns) for x in _solve_bucket(held, at, counts, bare, start))
                     held = []
                 at = bucket
                 held.append(blob)
         if held:
-            yield from (x.reindex(columns=columns) for x in _solve_bucket(held, at, hashes, counts, bare, start))
+            yield from (x.reindex(columns=columns) for x in _solve_bucket(held, at, counts, bare, start))
 
     dealt = _deal(documents, learn, model, p, buckets, key).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    solved = stage_table(dealt.mapInPandas(solve, _OUT), "katz-solved", ("kind",))
+    solved = stage_table(dealt.mapInPandas(solve, _OUT), "katz-solved", ("kind",), "zstd")
     return _finish(solved, words, model, p)
 
 
@@ -428,8 +457,8 @@ def _finish(solved: DataFrame, words: DataFrame, model: WordModel, p: Katz) -> D
         return out.otherwise(F.lit(max(model.unknown, 1e-300)))
 
     log_d = sum((F.col(r) * F.lit(math.log10(x)) for r, x in zip(rs, d)), F.col("big") * F.lit(math.log10(1 - p.floor)))
-    doc = ["doc_id", "no_id", "text_key", "train"]
-    resolved = kind("document").select(*doc, (F.col("v") + log_d).alias("v"), "base", "known", "tokens", "ends")
+    doc = ["doc_id", "no_id", "text_key"]
+    resolved = kind("document").select(*doc, (F.col("v") + log_d).alias("v"))
     # Words that have no short code: their counts come from the table.
     table = words.select("w", F.col("c").alias("c_w"))
     # alpha(h) = left over mass of the seen pairs / left over mass of their words.
@@ -443,12 +472,15 @@ def _finish(solved: DataFrame, words: DataFrame, model: WordModel, p: Katz) -> D
     coded = F.col("h") >= 0  # a hash has the top bit set
     near = missed.filter(coded).join(F.broadcast(alpha.filter(coded)), "h", "left")
     far = missed.filter(~coded).join(alpha.filter(~coded), "h", "left")
-    zero = F.lit(0).cast("long")
-    backed = near.unionByName(far).select(*doc, (F.col("n") * F.coalesce("log_alpha", F.lit(0.0))).alias("v"), F.lit(0.0).alias("base"), zero.alias("known"), zero.alias("tokens"), zero.alias("ends"))
+    backed = near.unionByName(far).select(*doc, (F.col("n") * F.coalesce("log_alpha", F.lit(0.0))).alias("v"))
     lone = F.log10((F.coalesce("c_w", F.lit(0)) + 1) / F.lit(model.total + model.types + 1))
     rare = kind("rare").select(*doc, "w", "n", "missed").join(table, "w", "left")
-    rest = backed.unionByName(rare.select(*doc, (F.col("missed") * F.log10(p_word(F.col("c_w")))).alias("v"), (F.col("n") * lone).alias("base"), F.when(F.col("c_w") > 0, F.col("n")).otherwise(zero).alias("known"), zero.alias("tokens"), zero.alias("ends")))
-    sums = resolved.unionByName(rest).groupBy(*doc).agg(*(F.sum(c).alias(c) for c in ("v", "base", "known", "tokens", "ends")))
+    zero = F.lit(0).cast("long")
+    rest = rare.select(*doc, (F.col("missed") * F.log10(p_word(F.col("c_w")))).alias("v"), (F.col("n") * lone).alias("base"), F.when(F.col("c_w") > 0, F.col("n")).otherwise(zero).alias("known"), zero.alias("tokens"), zero.alias("ends"), F.lit(False).alias("train"))
+    texts = kind("text").select(*doc, F.lit(0.0).alias("v"), "base", "known", "tokens", F.lit(1).cast("long").alias("ends"), "train").unionByName(rest)
+    own = texts.groupBy(*doc).agg(*(F.sum(c).alias(c) for c in ("base", "known", "tokens", "ends")), F.sum("v").alias("__v"), F.max("train").alias("train"))
+    # Many rows a text, so nothing but the score moves with them.
+    sums = own.join(resolved.unionByName(backed).groupBy(*doc).agg(F.sum("v").alias("v")), doc).withColumn("v", F.col("v") + F.col("__v"))
     each = lambda c: F.col(c) / F.col("ends")
     out = sums.select(
         F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"),
