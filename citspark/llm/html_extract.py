@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import check_columns
-from .html_tree import Node, Page, parse
+from .html_tree import INLINE_PLAIN, Node, Page, parse
 
 # Class words that the made pages use for each kind of part.
 _CONTENT = "article post entry content body story main text page single hentry blog news prose markdown articlebody copy".split()
@@ -193,7 +193,7 @@ class _Maker:
     def open(self, tag: str, label: int, marks: list[str] = []) -> None:
         attr = f' {self.rng.choice(("class", "id"))}="{self.rng.choice((" ", "-", "_")).join(marks)}"' if marks else ""
         self.parts.append(f"<{tag}{attr}>")
-        if not (tag in ("a", "b", "em", "span") and (not marks or tag == "a")):
+        if not (tag in INLINE_PLAIN and (not marks or tag == "a")):
             self.labels.append(label)
 
     def leaf(self, tag: str, label: int, text: str, marks: list[str] = []) -> None:
@@ -313,8 +313,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[int]]]:
 @lru_cache(maxsize=4)
 def default_model(pages: int = 300, seed: int = 7) -> TreeModel:
     """The model of ``pages`` made pages; trained once a process."""
-    made = [(parse(m), labels) for m, labels in labelled_pages(pages, seed)]
-    return train([(p, labels) for p, labels in made if len(p.nodes) == len(labels)])
+    return train([(parse(m), labels) for m, labels in labelled_pages(pages, seed)])
 
 
 def extract_pages(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:

@@ -15,8 +15,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-#: Their content is no text of the page.
-RAW = frozenset("script style title noscript template iframe textarea svg math object noembed noframes xmp".split())
+#: Their content is no text of the page: code, forms, what browsers with scripts and frames do not show, notes on formulas.
+RAW = frozenset("script style title noscript template iframe textarea noembed noframes annotation annotation-xml desc metadata".split())
+#: Drawings and formulas: their text belongs to the element around them.
+FOREIGN = frozenset("svg math".split())
 CLOSES_P = BLOCKS - {"button", "caption", "dd", "dt", "li", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr", "iframe", "noscript", "select", "textarea", "title", "head", "body", "html", "legend"} | {"dd", "dt", "li"}
 #: A start tag ends open elements of these names, up to the named borders.
 ENDS = {
@@ -31,7 +33,7 @@ ENDS = {
     "tfoot": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}),
     "thead": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}),
 }
-INLINE_PLAIN = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE_PLAIN = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark object q s samp small span strike strong sub sup time tt u var wbr".split())
 
 
 @dataclass
@@ -72,12 +74,13 @@ def parse(markup: str) -> Page:
 
     Unclosed and misnested elements are closed as browsers do in the common
     cases; an unfinished tag at the end is dropped; text in scripts, styles,
-    titles and the like is not taken.
+    titles and the like is not taken.  Text of formulas, drawings and embedded
+    objects is inline text.
     """
     page = Page([Node("#root", -1, 0)])
     # Open elements: name, node that holds their text, own node or -1.
     stack: list[tuple[str, int]] = [("#root", 0)]
-    block, at, links = 0, 0, 0
+    block, at, links, foreign = 0, 0, 0, 0
     size = len(markup)
 
     def text(raw: str) -> None:
@@ -93,10 +96,12 @@ def parse(markup: str) -> Page:
             page.pieces.append((block, stack[-1][1], " "))
 
     def close_to(depth: int) -> None:
-        nonlocal block, links
+        nonlocal block, links, foreign
         while len(stack) > depth:
             name, _ = stack.pop()
-            if name in BLOCKS:
+            if name in FOREIGN:
+                foreign -= 1
+            elif name in BLOCKS:
                 block += 1
             elif name == "a":
                 links -= 1
@@ -162,16 +167,17 @@ def parse(markup: str) -> Page:
                         lowest = i
                 if lowest:
                     close_to(lowest)
-        if name in VOID:
+        if name in VOID or ((foreign or name in FOREIGN) and attributes.endswith("/")):
             continue
         marks = _marks(attributes)
         parent = stack[-1][1]
-        if name in INLINE_PLAIN and not (marks and name not in ("a",)):
+        if foreign or name in FOREIGN or (name in INLINE_PLAIN and not (marks and name not in ("a",))):
             own = parent
         else:
             own = len(page.nodes)
             page.nodes.append(Node(name, parent, page.nodes[parent].depth + 1, marks))
             page.nodes[parent].children += 1
+        foreign += name in FOREIGN
         if name == "a":
             links += 1
         stack.append((name, own))

@@ -5,12 +5,13 @@ of its batches hold the line, the largest of their ids, and whether the key was
 new to the store when its batch came.  A new batch is merge-anti-joined with the
 runs: what no run holds is new.  Its own rows become a run of level 0; when a
 level has ``fanout`` runs they are merged into one of the next level, so a batch
-meets O(log batches) runs.  All runs share one bucketing, so the joins move no stored
-row.
+meets O(log batches) runs.  All runs share one bucketing, whose size follows the number
+of keys, so the joins move no stored row.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
@@ -138,7 +139,7 @@ class LineRuns:
         self.levels = []
 
 
-def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, bucket_keys: int = 1_000_000) -> DataFrame:
     """``documents`` with n_lines, n_dropped and kept_text.
 
     A line whose key has at least ``min_chars`` code points and is held by at
@@ -150,7 +151,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, ba
     check_columns(documents, "doc_id", "text")
     spark = documents.sparkSession
     keys = stage_table(document_keys(documents, min_chars, batches), "line-keys", ("batch",))
-    store = LineRuns(spark, fanout=fanout)
+    # A bucket is one task's: about a million keys, however many keys there are.
+    store = LineRuns(spark, fanout=fanout, buckets=max(16, math.ceil(keys.count() / bucket_keys)))
     for b in range(batches):
         store.add(keys.filter(F.col("batch") == b).drop("batch"))
     common = stage_table(store.common(min_docs), "line-common")

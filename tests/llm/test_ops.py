@@ -475,10 +475,10 @@ def test_html_extraction(spark):
     good = total = 0
     for markup, labels in html_extract.labelled_pages(80, seed=4242):
         page = parse(markup)
-        if len(page.nodes) == len(labels):
-            p = html_extract.content_marginals(page, model)
-            good += sum((x >= 0.5) == bool(y) for x, y in zip(p, labels))
-            total += len(labels)
+        assert len(page.nodes) == len(labels)
+        p = html_extract.content_marginals(page, model)
+        good += sum((x >= 0.5) == bool(y) for x, y in zip(p, labels))
+        total += len(labels)
     assert good / total > 0.98
     page = '<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy</div><article><h1>Head &amp; more</h1><p>One <b>two<br> three</p><p>Four\n five</article><footer>&copy; x</footer></body></html>'
     rows = [(1, "u", page), (2, None, None), (3, "v", ""), (None, "w", page + "<scr"), (5, "x", "<" * 1000), (6, "y", "<div>" * 3000)]
@@ -489,6 +489,11 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(table.limit(0)).count() == 0
 
 
+def test_formulas_and_drawings_in_an_article_are_its_text():
+    page = "<body><nav><ul><li><a href=x>Menu</a></li></ul></nav><article><h1>Head</h1><p>Area is <math><mi>x</mi><mo>+</mo><mi>y</mi><mspace/><annotation>x+y</annotation></math> in total</p><p>See <svg><title>t</title><path d='M0'/><text>Figure A</text></svg> and <object>more</object></p></article></body>"
+    assert html_extract.extract(page, html_extract.default_model()) == "Head\nArea is x+y in total\nSee Figure A and more"
+
+
 def test_pipeline_matches_its_parts(spark, tmp_path):
     import corpus_pipeline
 
