@@ -142,7 +142,7 @@ def parse(markup: str) -> Page:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(markup, at)
             if not attributes.endswith("/") or name in ("script", "style", "title", "textarea", "iframe"):
                 at = end.end() if end else size
-            if name in BLOCKS:
+            if name in BLOCKS and not foreign:
                 block += 1
             continue
         if name == "br":
