@@ -18,6 +18,7 @@ from citspark.operators import quantize as Q
 from citspark.operators import stats as S
 from citspark.operators.boosting import BoostParams, fit
 from citspark.operators.multiclass import fit_multiclass
+from citspark.operators.pipeline import FeaturePipeline, PipelineSpec
 from citspark.operators.tree import TreeParams
 from citspark.sources.storage import scratch_folder
 
@@ -546,3 +547,43 @@ _add(
     SELECT l_orderkey, l_linenumber, {", ".join(f"round(-(count(*) OVER w / 3.0 - sum(CASE WHEN y = {k} THEN 1.0 ELSE 0.0 END) OVER w) / (count(*) OVER w * 2 / 9.0 + 1), 6) AS m{k}" for k in range(3))}
     FROM t JOIN side USING (k) WINDOW w AS (PARTITION BY l)""",
 )
+
+
+# --- the fitted feature pipeline ------------------------------------------------------------------
+
+_ORDER_SPEC = PipelineSpec(numeric=("o_totalprice",), categorical=("o_orderpriority", "o_orderstatus"), combinations=(("o_orderpriority", "o_orderstatus"),), ctr=("o_orderpriority",), one_hot=3)
+_ORDER_ROWS = """WITH o AS (SELECT o_orderkey, o_totalprice, coalesce(o_orderpriority, '__missing__') AS k, coalesce(o_orderstatus, '__missing__') AS m,
+  CASE WHEN o_totalprice > 150000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM orders),
+a AS (SELECT avg(y) AS prior, count(*) AS rows FROM o),
+c AS (SELECT k, count(*) AS n, sum(y) AS s FROM o GROUP BY k)
+SELECT o_orderkey, round(o_totalprice, 9) AS o_totalprice, CAST(dense_rank() OVER (ORDER BY k) - 1 AS INTEGER) AS o_orderpriority_code,
+  CAST(m = 'F' AS INTEGER)::FLOAT AS "o_orderstatus_is_F", CAST(m = 'O' AS INTEGER)::FLOAT AS "o_orderstatus_is_O", CAST(m = 'P' AS INTEGER)::FLOAT AS "o_orderstatus_is_P",
+  CAST(dense_rank() OVER (ORDER BY k || '||' || m) - 1 AS INTEGER) AS o_orderpriority_x_o_orderstatus_code, """
+
+
+def _labelled_orders(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "orders").withColumn("y", F.coalesce((F.col("o_totalprice") > 150000).cast("double"), F.lit(0.0)))
+
+
+def _pipeline_lookup(spark: SparkSession, d: str) -> DataFrame:
+    orders = _labelled_orders(spark, d)
+    return _round(FeaturePipeline.fit(orders, _ORDER_SPEC, "y").transform(orders, keep=["o_orderkey"]), 9)
+
+
+def _pipeline_training(spark: SparkSession, d: str) -> DataFrame:
+    return _round(FeaturePipeline.fit_transform(_labelled_orders(spark, d), _ORDER_SPEC, "y", "o_orderkey", keep=["o_orderkey"])[1], 9)
+
+
+_add(
+    "feature_pipeline_transform",
+    _pipeline_lookup,
+    _ORDER_ROWS + """round((s + prior) / (n + 1), 9) AS o_orderpriority_mean, round((n + n / rows) / (rows + 1), 9) AS o_orderpriority_freq FROM o JOIN c USING (k) CROSS JOIN a""",
+)
+_add(
+    "feature_pipeline_training",
+    _pipeline_training,
+    _ORDER_ROWS
+    + """round((coalesce(sum(y) OVER b, 0) + prior) / (count(*) OVER b + 1), 9) AS o_orderpriority_mean,
+  round((count(*) OVER b + n / rows) / row_number() OVER (ORDER BY o_orderkey), 9) AS o_orderpriority_freq
+FROM o JOIN c USING (k) CROSS JOIN a WINDOW b AS (PARTITION BY k ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
