@@ -109,52 +109,66 @@ def _ranked(df: DataFrame, p: str, y: str, group: str, row_id: str) -> DataFrame
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(F.col(p).desc(), F.col(row_id))))
 
 
-def ndcg(df: DataFrame, p: str = "p", y: str = "y", group: str = "group_id", row_id: str = "row_id") -> DataFrame:
-    """Mean over groups of two rows or more with an ideal above 0."""
+def _weight(w: str | None) -> Column:
+    return F.col(w).cast("double") if w else F.lit(1.0)
+
+
+def _group_mean(per: DataFrame, value: Column) -> DataFrame:
+    """Mean of the groups' values by their weights ``gw``; groups without weight are left out, 0 without groups."""
+    return per.filter("gw > 0").agg(F.coalesce(F.try_divide(F.sum(value * F.col("gw")), F.sum("gw")), F.lit(0.0)).alias("value"))
+
+
+def ndcg(df: DataFrame, p: str = "p", y: str = "y", group: str = "group_id", row_id: str = "row_id", w: str | None = None, group_weight: str | None = None) -> DataFrame:
+    """Mean over groups of two rows or more with an ideal above 0; row weights scale gains, group weights the mean."""
     ideal = F.row_number().over(Window.partitionBy(group).orderBy(F.col(y).desc(), F.col(row_id)))
-    value = lambda k: (F.pow(F.lit(2.0), F.col(y)) - 1) / F.log2(F.col(k) + 1)
-    per = _ranked(df, p, y, group, row_id).withColumn("__i", ideal).groupBy(group).agg(F.sum(value("__k")).alias("a"), F.sum(value("__i")).alias("b"), F.count(F.lit(1)).alias("n"))
-    return per.filter("n > 1 AND b > 0").agg(F.coalesce(F.avg(F.col("a") / F.col("b")), F.lit(0.0)).alias("value"))
+    value = lambda k: _weight(w) * (F.pow(F.lit(2.0), F.col(y)) - 1) / F.log2(F.col(k) + 1)
+    per = _ranked(df, p, y, group, row_id).withColumn("__i", ideal).groupBy(group).agg(F.sum(value("__k")).alias("a"), F.sum(value("__i")).alias("b"), F.count(F.lit(1)).alias("n"), F.max(_weight(group_weight)).alias("gw"))
+    return _group_mean(per.filter("n > 1 AND b > 0"), F.col("a") / F.col("b"))
 
 
-def mean_average_precision(df: DataFrame, p: str = "p", y: str = "y", group: str = "group_id", row_id: str = "row_id") -> DataFrame:
+def mean_average_precision(df: DataFrame, p: str = "p", y: str = "y", group: str = "group_id", row_id: str = "row_id", w: str | None = None, group_weight: str | None = None) -> DataFrame:
+    """Row weights only tell which groups have a relevant row."""
     hit = (F.col(y) > 0).cast("int")
     hits = F.sum(hit).over(Window.partitionBy(group).orderBy("__k").rowsBetween(Window.unboundedPreceding, 0))
-    per = _ranked(df, p, y, group, row_id).withColumn("__h", hits).groupBy(group).agg(F.sum(hit * F.col("__h") / F.col("__k")).alias("a"), F.sum(hit).alias("b"))
-    return per.filter("b > 0").agg(F.coalesce(F.avg(F.col("a") / F.col("b")), F.lit(0.0)).alias("value"))
+    per = _ranked(df, p, y, group, row_id).withColumn("__h", hits).groupBy(group).agg(F.sum(hit * F.col("__h") / F.col("__k")).alias("a"), F.sum(hit).alias("b"), F.sum(hit * _weight(w)).alias("c"), F.max(_weight(group_weight)).alias("gw"))
+    return _group_mean(per.filter("b > 0 AND c > 0"), F.col("a") / F.col("b"))
 
 
-def mrr(df: DataFrame, p: str = "p", y: str = "y", group: str = "group_id", row_id: str = "row_id") -> DataFrame:
-    per = _ranked(df, p, y, group, row_id).filter(F.col(y) > 0).groupBy(group).agg(F.min("__k").alias("k"))
-    return per.agg(F.coalesce(F.avg(1 / F.col("k")), F.lit(0.0)).alias("value"))
+def mrr(df: DataFrame, p: str = "p", y: str = "y", group: str = "group_id", row_id: str = "row_id", group_weight: str | None = None) -> DataFrame:
+    per = _ranked(df, p, y, group, row_id).filter(F.col(y) > 0).groupBy(group).agg(F.min("__k").alias("k"), F.max(_weight(group_weight)).alias("gw"))
+    return _group_mean(per, 1 / F.col("k"))
 
 
-def pairlogit(pairs: DataFrame) -> DataFrame:
-    """Mean of log(1 + e^-margin) over pairs."""
+def pairlogit(pairs: DataFrame, w: str | None = None) -> DataFrame:
+    """Mean of log(1 + e^-margin) over pairs, by their weights."""
     m = F.col("margin")
-    return pairs.agg(F.coalesce(F.avg(F.log1p(F.exp(-F.abs(m))) + F.greatest(-m, F.lit(0.0))), F.lit(0.0)).alias("value"))
+    loss = F.log1p(F.exp(-F.abs(m))) + F.greatest(-m, F.lit(0.0))
+    kept = pairs.filter(_weight(w) > 0)
+    return kept.agg(F.coalesce(F.try_divide(F.sum(loss * _weight(w)), F.sum(_weight(w))), F.lit(0.0)).alias("value"))
 
 
-def cox(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """Negative mean partial log likelihood of the rows."""
-    times = df.groupBy(F.abs(F.col(y)).alias("t")).agg(F.sum(F.exp(F.col(p))).alias("s"), F.sum(F.when(F.col(y) > 0, 1.0).otherwise(0.0)).alias("d"), F.sum(F.when(F.col(y) > 0, F.col(p)).otherwise(0.0)).alias("e"), F.count(F.lit(1)).alias("n"))
+def cox(df: DataFrame, p: str = "p", y: str = "y", w: str | None = None) -> DataFrame:
+    """Negative partial log likelihood, as the mean over events by their weights; 0 without events."""
+    event = lambda x: F.sum(F.when(F.col(y) > 0, x).otherwise(0.0))
+    times = df.groupBy(F.abs(F.col(y)).alias("t")).agg(F.sum(F.exp(F.col(p))).alias("s"), event(_weight(w)).alias("d"), event(_weight(w) * F.col(p)).alias("e"))
     risk = running_sums(times, "t", {"risk": F.col("s")}, descending=True)
-    return risk.select((F.col("d") * F.log("risk") - F.col("e")).alias("a"), "n").agg((F.sum("a") / F.sum("n")).alias("value"))
+    loss = F.col("d") * F.log(F.greatest("risk", F.lit(_EPS))) - F.col("e")
+    return risk.filter("d > 0").agg(F.coalesce(F.try_divide(F.sum(loss), F.sum("d")), F.lit(0.0)).alias("value"))
 
 
 def survival_exponential(df: DataFrame, p: str = "p", y: str = "y", w: str | None = None) -> DataFrame:
     return _mean(df, F.exp(F.col(p)) * F.abs(F.col(y)) - F.when(F.col(y) > 0, F.col(p)).otherwise(0.0), w)
 
 
-def concordance(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """C-index over pairs of an event and a later time, by distinct (time, score).
+def concordance(df: DataFrame, p: str = "p", y: str = "y", w: str | None = None) -> DataFrame:
+    """C-index over pairs of an event and a later time, by distinct (time, score); a pair weighs the product of its rows.
 
     Times are ranked; two ranks first differ at one of their bits, so each pair
     is met once: among the rows whose ranks agree above that bit, the earlier has
     0 there and the later 1.  Within such a cell running sums over the scores count the
     pairs: n log n rows in all, and no join of pairs.
     """
-    g = df.groupBy(F.abs(F.col(y)).alias("t"), F.col(p).alias("s")).agg(F.sum(F.when(F.col(y) > 0, 1.0).otherwise(0.0)).alias("e"), F.count(F.lit(1)).cast("double").alias("n"))
+    g = df.groupBy(F.abs(F.col(y)).alias("t"), F.col(p).alias("s")).agg(F.sum(F.when(F.col(y) > 0, _weight(w)).otherwise(0.0)).alias("e"), F.sum(_weight(w)).alias("n"))
     times = g.select(F.col("t").alias("__t")).filter("__t IS NOT NULL").distinct()
     ranks = running_sums(times, "__t", {"rank": F.lit(1).cast("long")})
     bits = max(1, times.count().bit_length())
@@ -197,7 +211,7 @@ def evaluate_rows(df: DataFrame, name: str, w: str | None = None, grouped: bool
     """
     key = ALIASES.get(name.lower(), name.lower())
     if key == "pairlogit":
-        return pairlogit(group_pairs(df))
+        return pairlogit(group_pairs(df, w=w), "weight" if w else None)
     takes = inspect.signature(METRICS[key][0]).parameters if key in METRICS else {}
     if "group" in takes and not grouped:
         raise ValueError(f"{name} needs a group column")

@@ -101,13 +101,13 @@ def cox_gradients(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     return found.withColumn("g", g).withColumn("h", h).drop("__t", "__e", "a", "b")
 
 
-def group_pairs(df: DataFrame, row_id: str = "row_id", group: str = "group_id", y: str = "y", p: str = "p", subgroup: str | None = None) -> DataFrame:
-    """Pairs of a group with different labels and subgroups: winner, loser, margin."""
-    side = lambda s: df.select(F.col(group).alias("grp"), *(F.col(c).alias(f"{s}_{n}") for c, n in ((row_id, "id"), (y, "y"), (p, "p"), *(((subgroup, "sub"),) if subgroup else ()))))
+def group_pairs(df: DataFrame, row_id: str = "row_id", group: str = "group_id", y: str = "y", p: str = "p", subgroup: str | None = None, w: str | None = None) -> DataFrame:
+    """Pairs of a group with different labels and subgroups: winner, loser, margin, and with ``w`` the product of their weights."""
+    side = lambda s: df.select(F.col(group).alias("grp"), *(F.col(c).alias(f"{s}_{n}") for c, n in ((row_id, "id"), (y, "y"), (p, "p"), *(((subgroup, "sub"),) if subgroup else ()), *(((w, "wt"),) if w else ()))))
     joined = side("w").join(side("l"), "grp").filter(F.col("w_y") > F.col("l_y"))
     if subgroup:
         joined = joined.filter(F.col("w_sub") != F.col("l_sub"))
-    return joined.select("grp", F.col("w_id").alias("winner"), F.col("l_id").alias("loser"), (F.col("w_p") - F.col("l_p")).alias("margin"))
+    return joined.select("grp", F.col("w_id").alias("winner"), F.col("l_id").alias("loser"), (F.col("w_p") - F.col("l_p")).alias("margin"), *([(F.col("w_wt") * F.col("l_wt")).alias("weight")] if w else []))
 
 
 def pairlogit_gradients(pairs: DataFrame, weight: Column | None = None) -> DataFrame:

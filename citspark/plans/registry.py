@@ -203,7 +203,7 @@ _add(
 )
 _add("m_mrr", _metric("mrr", _ranking), f"SELECT round(avg(1.0 / k), 6) AS value FROM (SELECT min(k) AS k FROM {_RANKED} WHERE y > 0 GROUP BY group_id)")
 _add("m_pairlogit", lambda s, d: _round(M.pairlogit(O.group_pairs(_ranking(s, d), subgroup="sub"))), f"SELECT round(avg(ln(1 + exp(-margin))), 6) AS value FROM {_PAIRS}")
-_add("m_cox", _metric("cox", _survival), _COX + " SELECT round(sum(CASE WHEN y > 0 THEN ln(k.r) - p ELSE 0 END) / count(*), 6) AS value FROM r JOIN k USING (t)")
+_add("m_cox", _metric("cox", _survival), _COX + " SELECT round(sum(CASE WHEN y > 0 THEN ln(k.r) - p ELSE 0 END) / sum(CASE WHEN y > 0 THEN 1 ELSE 0 END), 6) AS value FROM r JOIN k USING (t)")
 _add("m_survivalexponential", _metric("survivalexponential", _survival), _plain("exp(p) * abs(y) - CASE WHEN y > 0 THEN p ELSE 0 END", SURVIVAL))
 _add(
     "m_cindex",

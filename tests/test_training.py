@@ -142,3 +142,37 @@ def test_snapshots_resume(spark, shops, tmp_path):
     assert both[0] == pytest.approx(both[1])
     with pytest.raises(ValueError):
         callbacks.fit_with_snapshots(shops, ["x"], "y", replace(p, learning_rate=0.1), path)
+
+
+def test_weighted_rank_and_survival_metrics_match_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, i % 9, rng.random(), float(rng.randint(0, 2)), rng.choice((0.0, 0.5, 2.0)), float(i % 9 % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, group_id long, p double, y double, w double, gw double")
+    sums = {k: [0.0, 0.0] for k in ("ndcg", "map", "mrr")}
+    pairs = [0.0, 0.0]
+    for g in range(9):
+        own = [r for r in rows if r[1] == g]
+        ranked, ideal = sorted(own, key=lambda r: (-r[2], r[0])), sorted(own, key=lambda r: (-r[3], r[0]))
+        dcg = [sum(r[4] * (2 ** r[3] - 1) / math.log2(k + 2) for k, r in enumerate(x)) for x in (ranked, ideal)]
+        hits = [k for k, r in enumerate(ranked, 1) if r[3] > 0]
+        gw = own[0][5]
+        values = {"ndcg": dcg[0] / dcg[1] if dcg[1] else None, "map": sum(n / k for n, k in enumerate(hits, 1)) / len(hits) if hits and any(r[4] > 0 for r in own if r[3] > 0) else None, "mrr": 1 / hits[0] if hits else None}
+        for k, v in values.items():
+            if v is not None:
+                sums[k] = [sums[k][0] + gw * v, sums[k][1] + gw]
+        for a in own:
+            for b in own:
+                if a[3] > b[3]:
+                    pairs = [pairs[0] + a[4] * b[4] * math.log1p(math.exp(b[2] - a[2])), pairs[1] + a[4] * b[4]]
+    for k, (a, b) in sums.items():
+        takes = {} if k == "mrr" else {"w": "w"}
+        assert metrics.evaluate(df, k, group_weight="gw", **takes).first().value == pytest.approx(a / b)
+    assert metrics.evaluate_rows(df, "pairlogit", w="w", grouped=True).first().value == pytest.approx(pairs[0] / pairs[1])
+    times = [(r[0], r[2], float(rng.choice((-1, 1)) * rng.randint(1, 12)), r[4]) for r in rows]
+    survival = spark.createDataFrame(times, "row_id long, p double, y double, w double")
+    events = [r for r in times if r[2] > 0]
+    loss = sum(r[3] * (math.log(sum(math.exp(x[1]) for x in times if abs(x[2]) >= r[2])) - r[1]) for r in events)
+    assert metrics.evaluate(survival, "cox", w="w").first().value == pytest.approx(loss / sum(r[3] for r in events))
+    met = [(a[3] * b[3], 1.0 if a[1] > b[1] else 0.5 if a[1] == b[1] else 0.0) for a in events for b in times if abs(b[2]) > a[2]]
+    assert metrics.evaluate(survival, "cindex", w="w").first().value == pytest.approx(sum(x * v for x, v in met) / sum(x for x, _ in met))
+    assert metrics.evaluate(survival.filter("y < 0"), "cox").first().value == 0
