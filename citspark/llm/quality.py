@@ -13,9 +13,12 @@ their whole hash, so long texts gather no chance hits.  Both thresholds are
 functions of the counts alone, so every document is decided the same way
 wherever and whenever it is scored.
 
-Everything is DataFrame functions: no Python runs on the executors.  The text
-never moves: both passes are scans, the only exchanges carry partial counts of
-at most ``buckets`` keys.
+Every labelled row counts: a quarter of them, fixed by hash, gives the
+thresholds, the others the models.
+
+Everything is DataFrame functions: no Python runs on the executors.  At most
+``broadcast_rows`` labelled ids are broadcast, and the texts of the corpus are only
+scanned; more ids are joined by sorting, which moves the texts once a join.
 """
 
 from __future__ import annotations
@@ -34,23 +37,26 @@ class QualityRules:
     """Parameters of the rules.
 
     buckets: size of the hashed feature space, so of the broadcast ratio table.
-    trusted_rows: bound of the labelled rows that the target multinomial takes,
-        those with the smallest hash of their id; 16 bytes each are broadcast.
+    trusted_rows: bound of the rows labelled good that are trusted, those with the
+        smallest hash of their id; None takes all.
     smoothing: added to each bucket's count.
     keep_trusted: share of the trusted sample that the threshold must keep.
     margin: further slack below that quantile, in nats a feature.
     score_bins: resolution of the histogram from which the quantile is read.
-    toxic_rows: bound of the labelled rows of each class that mark toxic n-grams.
-    toxic_grams: bound of these n-grams, those of the largest ratio; they
-        are broadcast.
+    toxic_rows: bound of the labelled rows of each class that mark toxic n-grams;
+        None takes all.
+    toxic_grams: size of the model, so of its broadcast table: of the n-grams that
+        all these rows mark, those of the largest ratio.
     toxic_least: labelled toxic documents that an n-gram must be in.
     toxic_ratio: log ratio to clean documents that it must have.
+    broadcast_rows: most rows of a table of ids or n-grams that is broadcast; a
+        larger one is joined as Spark plans it, with the same result.
     clean_cost: how many toxic documents, by share of their class, must be caught
         for each clean one lost; sets the toxic threshold.
     """
 
     buckets: int = 1 << 16
-    trusted_rows: int = 20_000
+    trusted_rows: int | None = None
     smoothing: float = 1.0
     min_words: int = 10
     window: int = 5
@@ -59,10 +65,11 @@ class QualityRules:
     margin: float = 0.02
     score_bins: int = 4096
     score_range: float = 4.0
-    toxic_rows: int = 20_000
+    toxic_rows: int | None = None
     toxic_grams: int = 4096
     toxic_least: int = 5
     toxic_ratio: float = 3.0
+    broadcast_rows: int = 1 << 20
     clean_cost: float = 10.0
 
 
@@ -141,20 +148,30 @@ def repeat_words(window: int) -> Column:
     )
 
 
+def _near(small: DataFrame, rules: QualityRules) -> DataFrame:
+    """``small``, to be broadcast if it has at most ``broadcast_rows`` rows."""
+    return F.broadcast(small) if small.count() <= rules.broadcast_rows else small
+
+
+def _first(ids: DataFrame, key: str, rows: int | None) -> DataFrame:
+    """The ``rows`` ids with the smallest hash, or all."""
+    return ids if rows is None else ids.orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def trusted_sample(labels: DataFrame, rules: QualityRules) -> DataFrame:
-    """At most ``trusted_rows`` ids of rows labelled good and not toxic, fixed by hash.
+    """Ids of rows labelled good and not toxic: all, or the first ``trusted_rows`` by hash.
 
     A quarter of them (``__held``) is kept out of the target multinomial; the
     threshold is read from their scores, as the others' are biased upwards.
     """
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    first = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.trusted_rows)
+    first = _first(good, "doc_id", rules.trusted_rows)
     return first.select(F.col("doc_id").alias("__trusted"), (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3).alias("__held"))
 
 
 def ratio_table(documents: DataFrame, trusted: DataFrame, rules: QualityRules) -> DataFrame:
     """One row: ``ratio``, the log ratio of each bucket; ``buckets`` doubles."""
-    marked = documents.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("__trusted"), "left")
+    marked = documents.select("doc_id", "text").join(_near(trusted, rules), F.col("doc_id") == F.col("__trusted"), "left")
     mask = F.lit(rules.buckets - 1)
     grams = hashed(marked).select(F.coalesce(~F.col("__held"), F.lit(False)).cast("int").alias("t"), F.explode(F.concat("__h", "__b")).alias("gram"))
     counts = grams.groupBy(F.col("gram").bitwiseAND(mask).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
@@ -184,7 +201,7 @@ def threshold(documents: DataFrame, trusted: DataFrame, ratios: DataFrame, rules
     Read from a histogram of ``score_bins`` fixed bins, rounded down to a bin.
     Without trusted rows nothing is rejected by the ratio.
     """
-    own = documents.select("doc_id", "text").join(F.broadcast(trusted.filter("__held")), F.col("doc_id") == F.col("__trusted"), "left_semi")
+    own = documents.select("doc_id", "text").join(_near(trusted.filter("__held"), rules), F.col("doc_id") == F.col("__trusted"), "left_semi")
     width = 2 * rules.score_range / rules.score_bins
     bins = scored(own, ratios, rules).filter(F.size("__words") >= rules.min_words).select(F.floor(F.greatest(F.lit(-rules.score_range), F.least(F.lit(rules.score_range), F.col("llr"))) / width).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     held = bins.agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("b"), F.sum("n").alias("all"))
@@ -201,7 +218,7 @@ def threshold(documents: DataFrame, trusted: DataFrame, ratios: DataFrame, rules
 
 
 def toxic_sample(labels: DataFrame, rules: QualityRules) -> DataFrame:
-    """Ids of toxic (``__bad`` 1) and of good, not toxic rows (0), at most ``toxic_rows`` each, fixed by hash.
+    """Ids of toxic (``__bad`` 1) and of good, not toxic rows (0): all, or the first ``toxic_rows`` of each by hash.
 
     An id with both labels is toxic.  A quarter (``__held``) marks no n-grams;
     the toxic threshold is read from its scores.
@@ -209,23 +226,35 @@ def toxic_sample(labels: DataFrame, rules: QualityRules) -> DataFrame:
     bad = F.coalesce(F.col("toxic"), F.lit(0)) == 1
     known = labels.filter(F.col("doc_id").isNotNull() & (bad | (F.col("quality") == 1)))
     ids = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max(bad.cast("int")).alias("__bad"))
-    parts = [ids.filter(F.col("__bad") == k).orderBy(F.xxhash64("__id"), "__id").limit(rules.toxic_rows) for k in (0, 1)]
-    return parts[0].unionByName(parts[1]).withColumn("__held", F.pmod(F.xxhash64("__id"), F.lit(4)) == 3)
+    if rules.toxic_rows is not None:
+        parts = [_first(ids.filter(F.col("__bad") == k), "__id", rules.toxic_rows) for k in (0, 1)]
+        ids = parts[0].unionByName(parts[1])
+    return ids.withColumn("__held", F.pmod(F.xxhash64("__id"), F.lit(4)) == 3)
 
 
-def _labelled(documents: DataFrame, sample: DataFrame) -> DataFrame:
-    return documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
+def _labelled(documents: DataFrame, sample: DataFrame, rules: QualityRules) -> DataFrame:
+    return documents.select("doc_id", "text").join(_near(sample, rules), F.col("doc_id") == F.col("__id"))
 
 
 def toxic_grams(documents: DataFrame, sample: DataFrame, rules: QualityRules) -> DataFrame:
-    """One row: ``marks``, for each bucket null or the whole hashes and weights of its toxic n-grams."""
-    rows = hashed(_labelled(documents, sample.filter(~F.col("__held"))))
-    grams = rows.select("__bad", F.explode(F.array_distinct(F.concat("__h", "__b"))).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.sum("__bad").alias("bad"), F.sum(1 - F.col("__bad")).alias("clean"))
+    """One row: ``marks``, for each bucket null or the whole hashes and weights of its toxic n-grams.
+
+    Only n-grams of ``toxic_least`` toxic documents are counted in the clean ones,
+    which are many more.
+    """
+    rows = stage_table(_labelled(documents, sample.filter(~F.col("__held")), rules), "quality-toxic-rows")
+
+    def counted(bad: int, out: str) -> DataFrame:
+        own = hashed(rows.filter(F.col("__bad") == bad))
+        return own.select(F.explode(F.array_distinct(F.concat("__h", "__b"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias(out))
+
+    often = stage_table(counted(1, "bad").filter(F.col("bad") >= rules.toxic_least), "quality-toxic-often")
+    clean = counted(0, "clean").join(_near(often.select("gram"), rules), "gram", "left_semi")
+    counts = often.join(clean, "gram", "left").na.fill(0, ["clean"])
     sizes = rows.agg(F.sum("__bad").alias("n_bad"), F.sum(1 - F.col("__bad")).alias("n_clean"))
     ratio = F.log((F.col("bad") + 0.5) / (F.col("n_bad") + 1)) - F.log((F.col("clean") + 0.5) / (F.col("n_clean") + 1))
     # Without clean documents nothing tells a toxic n-gram from any other.
-    marks = counts.filter(F.col("bad") >= rules.toxic_least).join(F.broadcast(sizes)).filter("n_clean > 0").select("gram", ratio.alias("weight")).filter(F.col("weight") >= rules.toxic_ratio)
+    marks = counts.join(F.broadcast(sizes)).filter("n_clean > 0").select("gram", ratio.alias("weight")).filter(F.col("weight") >= rules.toxic_ratio)
     most = marks.orderBy(F.desc("weight"), "gram").limit(rules.toxic_grams)
     own = most.groupBy(F.col("gram").bitwiseAND(F.lit(rules.buckets - 1)).cast("int").alias("bucket")).agg(F.collect_list(F.struct("gram", "weight")).alias("own"))
     every = documents.sparkSession.range(rules.buckets).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(own), "bucket", "left")
@@ -252,7 +281,7 @@ def toxic_threshold(documents: DataFrame, sample: DataFrame, marks: DataFrame, r
     ``clean_cost`` times that of clean ones is largest; the lowest of equals.
     Null where no score gains, so that nothing is rejected.
     """
-    rows = with_toxic(hashed(_labelled(documents, sample.filter("__held"))), marks, rules)
+    rows = with_toxic(hashed(_labelled(documents, sample.filter("__held"), rules)), marks, rules)
     bins = rows.groupBy((F.floor(F.col("toxic_score") * 16) / 16).alias("score")).agg(F.sum("__bad").alias("bad"), F.sum(1 - F.col("__bad")).alias("clean"))
     down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()

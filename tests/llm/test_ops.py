@@ -584,6 +584,28 @@ def test_quality_rejects_toxic_documents_by_a_few_words(spark):
         assert (r.toxic_score > 0) == (r.doc_id % 5 == 0)
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """More rows of each class than the 20,000 that the models once took; and no plan changes a result."""
+    n = 21_000
+    docs = spark.range(2 * n).selectExpr("id as doc_id", "concat('w', id % 7, if(id % 2 = 1, ' vile', ' fine')) as text")
+    labels = docs.selectExpr("doc_id", "1 as quality", "int(doc_id % 2) as toxic")
+    rules = quality.QualityRules(buckets=64)
+    trusted, sample = quality.trusted_sample(labels, rules), quality.toxic_sample(labels, rules)
+    assert trusted.count() == n and {r["__bad"]: r["count"] for r in sample.groupBy("__bad").count().collect()} == {0: n, 1: n}
+    fit = {r["__bad"]: r["count"] for r in sample.filter("not __held").groupBy("__bad").count().collect()}
+    weight = math.log((fit[1] + 0.5) / (fit[1] + 1)) - math.log(0.5 / (fit[0] + 1))
+    marks = [y for own in quality.toxic_grams(docs, sample, rules).first()["marks"] if own for y in own]
+    assert len(marks) == 9 and max(y["weight"] for y in marks) == pytest.approx(weight)
+    some = docs.filter("doc_id < 600")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [sorted(map(tuple, quality.quality_rules(some, labels, quality.QualityRules(buckets=64, broadcast_rows=k)).collect())) for k in (0, 1 << 20)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found[0] == found[1]
+
+
 def test_shards_and_mixture_take_clashing_columns(spark, tmp_path):
     import corpus_pipeline
 
