@@ -264,7 +264,8 @@ def write_token_files(documents: DataFrame, out: str, tokenizer: str, end_id: in
     only files of attempts that succeeded come into the manifest, so lost
     executors leave strays but no wrong rows.  Null texts are empty documents of
     one id; rows with a null id come before all others; repeated ids follow each
-    other, ordered by a hash of their text.
+    other, ordered by a hash of their text.  The manifest is one file of a row for
+    each token file, however many tasks encode.
     """
     check_columns(documents, "doc_id", "text")
     limit = mb_per_file << 20
@@ -303,7 +304,10 @@ def write_token_files(documents: DataFrame, out: str, tokenizer: str, end_id: in
     fs.create_dir(root, recursive=True)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranged = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return stage_table(ranged.mapInPandas(encode, "path string, part long, n_docs long, n_ids long"), "token-manifest")
+    manifest = ranged.mapInPandas(encode, "path string, part long, n_docs long, n_ids long")
+    # One task writes the few rows: Hadoop's local file system starts a chmod for each file,
+    # and for a moment the executor's whole memory counts for the new process as well.
+    return stage_table(manifest.repartition(1), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, out: str, with_ids: bool = False) -> DataFrame:

@@ -433,6 +433,21 @@ def test_token_files_hold_every_document(spark, docs, empty):
     assert [r.doc_id for r in only] == [None, None]
 
 
+def test_token_files_have_one_manifest_file(spark, docs):
+    """The tasks that encode write no part of it, as each part costs an executor a process of its own."""
+    out = common.scratch_path(spark, "tokens-test")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        manifest = token_store.write_token_files(docs, out, token_store.default_tokenizer(), 2, docs_per_file=7)
+    finally:
+        spark.conf.set(key, before)
+    assert len(manifest.inputFiles()) == 1
+    rows = manifest.collect()
+    assert len({r.part // 100_000 for r in rows}) > 1 and sum(r.n_docs for r in rows) == docs.count()
+
+
 def test_unigram_counts_equal_the_tokenizer(spark, docs, empty):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
