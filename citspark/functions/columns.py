@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,10 +43,15 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often, and within whatever lambda, ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    """Softmax of an array column."""
-    shifted = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))
-    return F.transform(shifted, lambda v: v / F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x))
+    """Softmax of an array column; maximum, powers and their sum are taken once a row, not once an element."""
+    powers = let(F.array_max(logits), lambda top: F.transform(logits, lambda v: F.exp(v - top)))
+    return let(powers, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda v: v / total)))
 
 
 def argmax(values: Column) -> Column:
@@ -63,6 +69,18 @@ def gain(g: Column, h: Column, l2: float) -> Column:
     return F.coalesce(F.try_divide(g * g, h + F.lit(l2)), F.lit(0.0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``round`` of a double, bit for bit, without a decimal of each value.
+
+    Far from halves the nearest whole number of units is certain, and its quotient
+    is the double nearest to that decimal; the others, and large values, take ``round``.
+    """
+    unit = F.lit(10.0**digits)
+    whole = F.rint(x * unit)
+    sure = (F.abs(whole) < F.lit(float(1 << 40))) & (F.abs(x * unit - whole) < 0.499)
+    return F.when(sure, whole / unit + 0.0).otherwise(F.round(x, digits))  # + 0.0: no negative zeros
+
+
 def ascii_tokens(text: Column) -> Column:
     """Runs of [a-z0-9_] after lower-casing A-Z alone."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -179,6 +179,14 @@ def sample_weight(p: BoostParams, iteration: int, row_id: str) -> Column:
     return F.when(u < p.subsample, 1.0).otherwise(0.0) if p.subsample < 1 else F.lit(1.0)
 
 
+def samples_rows(p: BoostParams) -> bool:
+    """Whether ``sample_weight`` may differ between rows."""
+    kind = p.bootstrap.lower()
+    if kind == "bayesian":
+        return p.bagging_temperature > 0
+    return kind == "poisson" or p.subsample < 1 or BOOSTING_TYPES[p.boosting_type.lower()] == "rf"
+
+
 def sample_features(p: BoostParams, iteration: int, eligible: list[int]) -> list[int]:
     k = max(1, math.ceil(p.colsample_bytree * len(eligible)))
     return eligible if k >= len(eligible) else sorted(random.Random(p.seed * 1_000_003 + iteration).sample(eligible, k))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -14,12 +15,15 @@ from citspark.functions.columns import argmax, leaf_weight, softmax
 from citspark.sources.storage import cut_lineage
 
 from . import metrics
-from .boosting import BoostParams, sample_features, sample_weight
+from .boosting import BoostParams, sample_features, sample_weight, samples_rows
 from .features import class_weights
 from .objectives import softmax_gradients
 from .quantize import FeatureBins, fit_bins, with_bins
 from .tree import Node, Tree, grow
 
+#: Rows of one label and equal bins train as one row where so few kinds of them can occur.
+KINDS = 1 << 16
+
 
 @dataclass
 class MulticlassModel:
@@ -108,6 +112,10 @@ def fit_multiclass(
     Each iteration grows one tree on the gradients of the class whose gradients
     vary most and refits its leaves for every class.  ``class_weight`` is
     "balanced" or weights by class, and multiplies ``weight``.
+
+    Rows of one label and equal bins have the same margins, and all sums are linear
+    in the weights: with few bins each kind of row is one row of its summed weight,
+    so an iteration costs the kinds, not the rows.  Rows sampled one by one stay apart.
     """
     if classes < 2:
         raise ValueError("at least two classes are needed")
@@ -127,11 +135,15 @@ def fit_multiclass(
         y = F.col(label).cast("int")
         for k, v in by_class.items():
             base = F.when(y == k, base * v).otherwise(base) if v != 1 else base
-        start = F.array(*(F.lit(0.0) for _ in range(classes)))
-        return with_bins(frame, model.bins, "__bins").select(own.alias("row_id"), y.alias("y"), base.alias("base_w"), "__bins", start.alias("p")).persist()
-
-    rows, held = prepared(df), prepared(valid) if valid is not None else None
-    kept = [rows] + ([held] if held is not None else [])
+        each = with_bins(frame, model.bins, "__bins").select(own.alias("row_id"), y.alias("y"), base.alias("base_w"), "__bins", F.lit(1).cast("long").alias("n"))
+        if few:
+            each = each.groupBy("y", "__bins").agg(F.lit(0).alias("row_id"), F.sum("base_w").alias("base_w"), F.sum("n").alias("n"))
+        return each.persist()
+
+    few = not samples_rows(p) and classes * math.prod(b.bins + 1 for b in model.bins) <= KINDS
+    kept = [prepared(df)] + ([prepared(valid)] if valid is not None else [])
+    start = F.array(*(F.lit(0.0) for _ in range(classes)))
+    rows, held = (kept[i].withColumn("p", start) if i < len(kept) else None for i in range(2))
     eligible = [i for i in range(len(features)) if not p.tree.feature_weights or p.tree.feature_weights[i] > 0]
     cats = frozenset(i for i, b in enumerate(model.bins) if b.categorical)
     sign = 1 if metrics.higher_is_better(name) else -1
@@ -142,7 +154,7 @@ def fit_multiclass(
         own = softmax_gradients(rows, classes).withColumn("w", F.col("base_w") * sample_weight(p, it, "row_id")).withColumnRenamed("__bins", "bins")
         k = structure_class(own, classes)
         one = own.withColumn("g", F.get("g", F.lit(k))).withColumn("h", F.get("h", F.lit(k)))
-        trees = refit(grow(one, p.tree, sample_features(p, it, eligible), cats), own, classes, p.tree.lambda_l2)
+        trees = refit(grow(one, p.tree, sample_features(p, it, eligible), cats, n="n"), own, classes, p.tree.lambda_l2)
         model.trees.append(trees)
         model.rates.append(rate)
         moved = F.array(*(F.lit(rate) * t.value("__bins") for t in trees))

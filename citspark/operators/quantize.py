@@ -84,8 +84,7 @@ class FeatureBins:
         if self.categorical:
             # Unknown keys take the bin of the others, or -1, which goes right at every split.
             place = F.array_position(F.array(*(F.lit(k) for k in self.keys)), normalize_key(F.col(self.name))) - 1
-            other = F.lit(self.keys.index(OTHER_KEY) if OTHER_KEY in self.keys else -1)
-            return F.when(place >= 0, place).otherwise(other).cast("int")
+            return (F.when(place >= 0, place).otherwise(self.keys.index(OTHER_KEY)) if OTHER_KEY in self.keys else place).cast("int")
         value = F.col(self.name).cast("float").cast("double")
         gone = value.isNull() | F.isnan(value)
         if self.missing == "forbidden":

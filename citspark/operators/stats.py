@@ -53,10 +53,13 @@ def statistic_table(hist: DataFrame, keys: list[str]) -> DataFrame:
     return t.select(*keys, chi.alias("chi_square"), F.when((F.col("n") > 1) & (F.col("k") > 1), F.col("k") - 1).otherwise(0).cast("long").alias("df"))
 
 
-def histogram(rows: DataFrame, keys: list[str], bins: str = "bins", w: str = "w") -> DataFrame:
-    """sum_w, sum_g, sum_h, sum_gg by (keys, feature, bin): one exchange of partial sums."""
-    each = rows.select(*keys, F.col(w).alias("__w"), (F.col("g") * F.col(w)).alias("__g"), (F.col("h") * F.col(w)).alias("__h"), (F.col("g") * F.col("g") * F.col(w)).alias("__gg"), F.posexplode(bins).alias("feature", "bin"))
-    return each.groupBy(*keys, "feature", "bin").agg(F.sum("__w").alias("sum_w"), F.sum("__g").alias("sum_g"), F.sum("__h").alias("sum_h"), F.sum("__gg").alias("sum_gg"), F.count(F.lit(1)).alias("n"))
+def histogram(rows: DataFrame, keys: list[str], bins: str = "bins", w: str = "w", n: str | None = None) -> DataFrame:
+    """sum_w, sum_g, sum_h, sum_gg by (keys, feature, bin): one exchange of partial sums.
+
+    ``n`` is how many rows a row stands for, with the sum of their weights.
+    """
+    each = rows.select(*keys, F.col(w).alias("__w"), (F.col("g") * F.col(w)).alias("__g"), (F.col("h") * F.col(w)).alias("__h"), (F.col("g") * F.col("g") * F.col(w)).alias("__gg"), F.col(n).alias("__n") if n else F.lit(1).alias("__n"), F.posexplode(bins).alias("feature", "bin"))
+    return each.groupBy(*keys, "feature", "bin").agg(F.sum("__w").alias("sum_w"), F.sum("__g").alias("sum_g"), F.sum("__h").alias("sum_h"), F.sum("__gg").alias("sum_gg"), F.sum("__n").alias("n"))
 
 
 def running_best(df: DataFrame, order: str, value: str, higher: bool = False, out: str = "best", ranges: int = 64) -> DataFrame:

@@ -159,8 +159,8 @@ def _groups_below(f: int, node: Node, p: TreeParams) -> frozenset[int] | None:
     return (own if node.groups is None else own & node.groups) or None
 
 
-def grow(rows: DataFrame, p: TreeParams, features: list[int], categorical: frozenset[int] = frozenset(), bins: str = "bins") -> Tree:
-    """One tree over rows with g, h, w and ``bins``."""
+def grow(rows: DataFrame, p: TreeParams, features: list[int], categorical: frozenset[int] = frozenset(), bins: str = "bins", n: str | None = None) -> Tree:
+    """One tree over rows with g, h, w and ``bins``; ``n`` is how many rows a row stands for."""
     tree = Tree([Node(0, lo=-p.max_leaf_weight if p.max_leaf_weight > 0 else float("-inf"), hi=p.max_leaf_weight if p.max_leaf_weight > 0 else float("inf"))])
     open_ = [0]
     ranked = bool(p.monotone or p.interactions or p.feature_weights)
@@ -172,7 +172,7 @@ def grow(rows: DataFrame, p: TreeParams, features: list[int], categorical: froze
         if len(tree.nodes) > 1:
             placed = placed.filter(F.col("node").isin(open_))
         kept = F.array(*(F.get(F.col(bins), F.lit(f)) for f in features))
-        for r in histogram(placed.withColumn("__bins", kept), ["node"], "__bins").collect():
+        for r in histogram(placed.withColumn("__bins", kept), ["node"], "__bins", n=n).collect():
             hist[r.node][features[r.feature]][r.bin] = (r.sum_w, r.sum_g, r.sum_h, r.sum_gg)
             if r.feature == 0:
                 count[r.node] += r.n

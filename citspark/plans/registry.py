@@ -38,7 +38,7 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str |
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to so many digits: sums differ in the last bits by order."""
-    return df.select(*(F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema))
+    return df.select(*(C.rounded(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema))
 
 
 # --- inputs by role: Spark frames and the same as SQL -------------------------------------------

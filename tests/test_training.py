@@ -9,8 +9,9 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from citspark.functions import columns
 from citspark.functions.hashing import hashed_counts
-from citspark.operators import callbacks, features, metrics, objectives, prepare, running
+from citspark.operators import callbacks, features, metrics, multiclass, objectives, prepare, running
 from citspark.operators.boosting import BoosterModel, BoostParams, fit
 from citspark.operators.multiclass import MulticlassModel, fit_multiclass
 from citspark.operators.tree import TreeParams
@@ -176,3 +177,51 @@ def test_weighted_rank_and_survival_metrics_match_brute_force(spark):
     met = [(a[3] * b[3], 1.0 if a[1] > b[1] else 0.5 if a[1] == b[1] else 0.0) for a in events for b in times if abs(b[2]) > a[2]]
     assert metrics.evaluate(survival, "cindex", w="w").first().value == pytest.approx(sum(x * v for x, v in met) / sum(x for x, _ in met))
     assert metrics.evaluate(survival.filter("y < 0"), "cox").first().value == 0
+
+
+def test_multiclass_trains_on_kinds_of_rows(spark, shops, monkeypatch):
+    """Rows of one label and equal bins are one row to a level, with the trees that all rows give."""
+    seen, grow = [], multiclass.grow
+    monkeypatch.setattr(multiclass, "grow", lambda rows, *a, **k: (seen.append(rows.count()), grow(rows, *a, **k))[1])
+    rows = shops.withColumn("v", F.col("x") + 0.5)
+    p = BoostParams(objective="multiclass", iterations=2, learning_rate=0.8, max_bins=4, tree=TreeParams(max_depth=2, alpha=1.0, min_samples_split=150))
+    fitted = lambda q=p: fit_multiclass(rows, ["shop", "x"], "k", 3, q, weight="v", categorical=["shop"], valid=rows.filter("row_id % 2 = 0"))
+    merged = fitted()
+    assert max(seen) <= 5 * 4 < rows.count()
+    seen.clear()
+    monkeypatch.setattr(multiclass, "KINDS", 0)
+    apart = fitted()
+    assert seen == [rows.count()] * 2
+    for one, other in zip(merged.trees, apart.trees):
+        for t, u in zip(one, other):
+            assert [(n.feature, n.bin, n.left_bins, n.left, n.right) for n in t.nodes] == [(n.feature, n.bin, n.left_bins, n.left, n.right) for n in u.nodes]
+            assert [n.weight for n in t.nodes] == pytest.approx([n.weight for n in u.nodes])
+    assert len(merged.trees[0][0].nodes) > 1
+    assert merged.history["train"] == pytest.approx(apart.history["train"]) and merged.history["valid"] == pytest.approx(apart.history["valid"])
+    monkeypatch.undo()
+    monkeypatch.setattr(multiclass, "grow", lambda rows, *a, **k: (seen.append(rows.count()), grow(rows, *a, **k))[1])
+    seen.clear()
+    fitted(replace(p, subsample=0.5))
+    assert seen == [rows.count()] * 2  # sampled rows stay apart
+
+
+def test_softmax_takes_each_step_once(spark):
+    rng = random.Random(2)
+    rows = [[rng.uniform(-30, 30) for _ in range(5)] for _ in range(50)] + [[], None, [800.0, 0.0]]
+    df = spark.createDataFrame([(r,) for r in rows], "p array<double>").select("p", columns.softmax(F.col("p")).alias("s"))
+    for r in df.collect():
+        top = max(r.p or [0.0])
+        total = sum(math.exp(v - top) for v in r.p or ())
+        assert r.s == (None if r.p is None else pytest.approx([math.exp(v - top) / total for v in r.p]))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("exp(") == plan.count("array_max(") == 1
+
+
+def test_rounding_without_decimals_is_round(spark):
+    rng = random.Random(6)
+    values = [(k + 0.5) / 10.0**d for d in (4, 6, 9) for k in range(-200, 200)] + [rng.uniform(-1, 1) * 10.0 ** rng.randint(-12, 20) for _ in range(2000)]
+    values += [0.0, -0.0, -1e-9, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for d in (0, 4, 6, 9):
+        for r in df.select("x", F.round("x", d).alias("a"), columns.rounded(F.col("x"), d).alias("b")).collect():
+            assert repr(r.a) == repr(r.b), (r.x, d)
